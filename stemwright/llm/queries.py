@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemwright.llm import near_duplicates
+from stemwright.llm import fusion, near_duplicates, sampling, truncation
 from stemwright.session import cut, table
 
 
@@ -57,11 +57,130 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups}
+# ---- problem 3: one surviving record for each job
+_FIELDS = ["stem", "answer", "rationale", "provider", "cost_usd"]
+
+
+def _no_error():
+    said = F.lower(F.trim("parse_error"))
+    return said.isNull() | said.isin("", "none")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = -F.unix_micros(F.col("requested_at").cast("timestamp"))
+    order = [
+        (~F.coalesce("analysed", F.lit(False))).cast("int"),
+        (~_no_error()).cast("int"),
+        F.coalesce(late, F.lit(2**62)),
+    ]
+    rows = table(spark, sf_dir, "items_full").select("ord", "analysed", "parse_error", "requested_at", job_key().alias("job_id"), *_FIELDS)
+    return fusion.preferred_rows(rows, "job_id", "ord", _FIELDS, order)
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each attempt of a job with several rows says of its fields; a source is a provider and the state of the row."""
+    state = F.concat_ws(
+        "/", F.coalesce("provider", F.lit("?")), F.when(F.coalesce("analysed", F.lit(False)), "analysed").otherwise("not analysed"),
+        F.when(_no_error(), "clean").otherwise("error"),
+    )
+    rows = table(spark, sf_dir, "items_full").filter("job_id is not null").withColumn("entity", job_key()).withColumn("source", state)
+    several = rows.groupBy("entity").agg(F.count("*").alias("n")).filter("n >= 2").select("entity")
+    values = F.explode(
+        F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in _FIELDS])
+    )
+    return (
+        rows.join(several, "entity", "left_semi").select("entity", "source", values.alias("v"))
+        .select("entity", "source", "v.field_name", "v.value").filter(r"value rlike '(?U)\\S'")
+    )
+
+
+def p3_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.truth_discovery(_claims(spark, sf_dir))[0].withColumnRenamed("entity", "job_id")
+
+
+def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.truth_discovery(_claims(spark, sf_dir))[1]
+
+
+# ---- problem 4: a sample of jobs that stays as the log grows
+SAMPLE_SHARE = 0.125
+
+
+def p4_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the sampled jobs; a job's stratum is that of its first row."""
+    rows = table(spark, sf_dir, "items_full").filter("job_id is not null").select(
+        "ord", job_key().alias("job_id"), "model_label", "condition"
+    )
+    first = rows.groupBy("job_id").agg(F.min(F.struct("ord", "model_label", "condition")).alias("f"))
+    jobs = first.select("job_id", F.col("f.ord").alias("first_ord"), "f.model_label", "f.condition")
+    kept = sampling.golden_sample(jobs, ["model_label", "condition"], "first_ord", SAMPLE_SHARE)
+    return rows.select("ord", "job_id").join(kept.select("job_id", "model_label", "condition", "seq"), "job_id")
+
+
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_sample(spark, sf_dir).groupBy("model_label", "condition").agg(
+        F.count_distinct("job_id").alias("n_jobs"), F.count("*").alias("n_rows")
+    )
+
+
+# ---- problem 6: texts cut off
+def _long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("stem", "rationale")]))
+    return (
+        table(spark, sf_dir, "items_full").select(F.col("ord").alias("row_id"), "provider", both.alias("b"))
+        .select("row_id", "provider", "b.field_name", "b.text")
+        .withColumn("n_chars", F.length("text"))
+    )
+
+
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_long_texts(spark, sf_dir), ["provider", "field_name"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).select(F.col("row_id").alias("ord"), "field_name")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of cut texts for each provider and field."""
+    texts = _long_texts(spark, sf_dir).filter(r"text rlike '(?U)\\S'")
+    cases = _truncated(spark, sf_dir).select("row_id", "field_name", F.lit(1).alias("is_cut"))
+    return texts.select("row_id", "provider", "field_name").join(cases, ["row_id", "field_name"], "left").groupBy("provider", "field_name").agg(
+        F.count("*").alias("n_texts"), F.count("is_cut").alias("n_cut"), (F.count("is_cut") / F.count("*")).alias("share_cut")
+    )
+
+
+def p6_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.length_hazards(_long_texts(spark, sf_dir), ["provider", "field_name"]).filter("significant")
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_truth": p3_truth, "p3_sources": p3_sources, "p4_sample": p4_sample, "p4_shares": p4_shares,
+    "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_rates": p6_rates, "p6_hazards": p6_hazards,
+}
 
 _STEM_JOBS = """
 WITH m AS (SELECT DISTINCT lower(trim(job_id, ' ')) AS job,
   trim(regexp_replace(lower(stem), '[^a-z0-9]+', ' ', 'g')) AS norm FROM items_full WHERE stem IS NOT NULL AND job_id IS NOT NULL)
 """
 
-ORACLE: dict[str, str] = {}
+_SAMPLE = """
+WITH r AS (SELECT ord, lower(trim(job_id, ' ')) AS job_id, model_label, condition FROM items_full WHERE job_id IS NOT NULL),
+f AS (SELECT job_id, min(ord) AS first_ord, arg_min(coalesce(model_label, ''), ord) AS ml, arg_min(coalesce(condition, ''), ord) AS co FROM r GROUP BY job_id),
+s AS (SELECT *, (row_number() OVER (PARTITION BY ml, co ORDER BY first_ord) - 1)::BIGINT AS seq FROM f),
+k AS (SELECT * FROM s WHERE (seq::HUGEINT * 2654435769 + ('0x' || substr(md5('7|' || ml || '|' || co), 1, 8))::BIGINT) % 4294967296 < 536870912)
+"""
+
+ORACLE: dict[str, str] = {
+    "p3_found": "\nUNION ALL\n".join(
+        f"""(SELECT lower(trim(job_id, ' ')) AS job_id, '{f}' AS field_name,
+  first(ord ORDER BY coalesce(analysed, false) DESC, (parse_error IS NOT NULL AND lower(trim(parse_error)) NOT IN ('', 'none')),
+  requested_at DESC NULLS LAST, ord) FILTER (WHERE {f} IS NOT NULL AND trim({f}::VARCHAR, E' \\t\\n\\r') <> '') AS ord FROM items_full WHERE job_id IS NOT NULL
+  GROUP BY ALL HAVING count(*) >= 2 AND count(*) FILTER (WHERE {f} IS NOT NULL AND trim({f}::VARCHAR, E' \\t\\n\\r') <> '') > 0)"""
+        for f in _FIELDS
+    ),
+    "p4_sample": _SAMPLE + "SELECT r.ord, k.job_id, nullif(ml, '') AS model_label, nullif(co, '') AS condition, seq FROM k JOIN r USING (job_id)",
+    "p4_shares": _SAMPLE
+    + """SELECT nullif(ml, '') AS model_label, nullif(co, '') AS condition, count(DISTINCT job_id)::BIGINT AS n_jobs, count(*)::BIGINT AS n_rows
+    FROM k JOIN r USING (job_id) GROUP BY ALL""",
+}
