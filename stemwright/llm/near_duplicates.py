@@ -116,12 +116,23 @@ def signature_table(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
     return texts.select("h", "norm").mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in names]))
 
 
-def _shingles(norm: Column, n: int) -> Column:
-    words = F.split(norm, " ")
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)])
-    )
-    return F.array_distinct(runs)
+def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(h, s): the distinct shingle hashes of rows (h, norm)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                code, doc = shingle_hashes(*_hashed(batch.column("norm").to_pylist()), n)
+                order = np.lexsort((code, doc))
+                code, doc = code[order].view(np.int64), doc[order]
+                new = np.ones(len(code), dtype=bool)
+                new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+                code, doc = code[new], doc[new]
+                ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(code))
+                yield pa.RecordBatch.from_arrays([batch.column("h"), sets], names=["h", "s"])
+
+    return texts.select("h", "norm").mapInArrow(run, "h long, s array<long>")
 
 
 def similar_texts(
@@ -130,7 +141,7 @@ def similar_texts(
     n: int = 3,
     sample_rows: int = 20_000,
     common_share: float = 0.001,
-    most_flips: int = 44,
+    most_flips: int = 40,
 ) -> DataFrame:
     """Pairs (h_a < h_b, jaccard) of different texts whose shingle sets have at least the given similarity.
 
@@ -180,7 +191,7 @@ def similar_texts(
     )
     ids = pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct()
     held = texts.join(ids, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
-    sets = cut(held.select("h", _shingles(F.col("norm"), n).alias("s")), "golay-shingles")
+    sets = cut(shingle_sets(held, n), "golay-shingles")
     both = pairs.join(sets.select(F.col("h").alias("h_a"), F.col("s").alias("s_a")), "h_a").join(
         sets.select(F.col("h").alias("h_b"), F.col("s").alias("s_b")), "h_b"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemwright.llm import fusion, near_duplicates, sampling, truncation
+from stemwright.llm import consensus, fusion, leaks, mixing, near_duplicates, sampling, truncation
 from stemwright.session import cut, table
 
 
@@ -154,7 +154,102 @@ def p6_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.length_hazards(_long_texts(spark, sf_dir), ["provider", "field_name"]).filter("significant")
 
 
+# ---- problem 7: consensus of several raters
+_STRIP = r"(?U)^\s+|\s+$"
+_READER = {"q1_longest": "q1_longest", "q2_repetition": "q2_repetition", "q3_absolute": "q3_absolute"}
+
+
+def clean(name: str):
+    return F.regexp_replace(F.lower(F.col(name)), _STRIP, "")
+
+
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, question, rater, label): each rater once for an item, by the latest row; blank is no vote."""
+    questions = [f"q{i}" for i in range(1, 6)]
+    columns = ["item_id", "rater", "submitted_utc", "row_id", *questions]
+    ratings = table(spark, sf_dir, "main_r1").select(*columns).unionByName(table(spark, sf_dir, "main_r2").select(*columns))
+    latest = (
+        ratings.filter("item_id is not null")
+        .withColumn("rater", F.coalesce(clean("rater"), F.lit("")))
+        .groupBy("item_id", "rater")
+        .agg(F.max(F.struct(F.col("submitted_utc"), F.col("row_id"), *questions)).alias("r"))
+        .select("item_id", "rater", "r.*")
+    )
+    rated = latest.select("item_id", "rater", F.explode(F.array(*[F.struct(F.lit(q).alias("question"), F.col(q).alias("label")) for q in questions])).alias("v"))
+    readers = table(spark, sf_dir, "reader_check").filter("item_id is not null")
+    cells = [
+        F.struct(F.lit(f"reader{i}").alias("rater"), F.struct(F.lit(q).alias("question"), F.col(f"reader{i}_{c}").alias("label")).alias("v"))
+        for i in (1, 2) for q, c in _READER.items()
+    ]
+    read = readers.select("item_id", F.explode(F.array(*cells)).alias("c")).select("item_id", "c.rater", "c.v")
+    return rated.unionByName(read).select(
+        "item_id", "v.question", "rater", F.regexp_replace(F.lower("v.label"), _STRIP, "").alias("label")
+    ).filter("label != ''")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the annotator model that at least two votes and more than half of the votes support."""
+    labels = consensus.consensus_labels(cut(votes(spark, sf_dir), "votes"))
+    return labels.filter("n >= 2 and 2 * n > n_votes").select("item_id", "question", "label")
+
+
+def p7_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most probable label of each item and question, whether or not a majority holds it."""
+    labels = consensus.consensus_labels(cut(votes(spark, sf_dir), "votes"))
+    best = F.max_by(F.struct("label", "n", "n_votes", "posterior"), F.struct("posterior", "n", "label")).alias("b")
+    return labels.groupBy("item_id", "question").agg(best).select("item_id", "question", "b.*")
+
+
+def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.agreement(votes(spark, sf_dir)).select(
+        "question", "n_votes", F.round("raw_agreement", 6).alias("raw_agreement"), F.round("alpha", 6).alias("alpha")
+    )
+
+
+def p7_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.annotator_model(cut(votes(spark, sf_dir), "votes"))[1]
+
+
+# ---- problem 8: held-out items in documents
+def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), near_duplicates.normalised(F.col("text")).alias("norm"))
+    items = table(spark, sf_dir, "reference_items").select(
+        F.col("itemnum").cast("long").alias("id"), near_duplicates.normalised(F.col("itemstem_text")).alias("norm")
+    )
+    return docs, items
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(*_passages(spark, sf_dir)).select("doc_id", F.col("item_id").cast("int").alias("itemnum"))
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each leaked item the documents that hold some of it and the most passages one of them holds."""
+    return (
+        leaks.leaked_items(*_passages(spark, sf_dir)).groupBy(F.col("item_id").cast("int").alias("itemnum"))
+        .agg(F.count("*").alias("n_docs"), F.max("n_passages").alias("most_passages"))
+    )
+
+
+# ---- problem 9: a mixture of sources
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("source"), "text")
+    targets = table(spark, sf_dir, "mix_targets")
+    named = docs.join(F.broadcast(targets.select("source")), "source")  # mix_targets is a fixed table of 9 rows
+    return mixing.mixture(mixing.token_counts(named, mixing.tokenizer_path()), targets)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 QUERIES = {
+    "p7_found": p7_found, "p7_consensus": p7_consensus, "p7_agreement": p7_agreement, "p7_raters": p7_raters,
+    "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_truth": p3_truth, "p3_sources": p3_sources, "p4_sample": p4_sample, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_rates": p6_rates, "p6_hazards": p6_hazards,
 }
@@ -171,7 +266,32 @@ s AS (SELECT *, (row_number() OVER (PARTITION BY ml, co ORDER BY first_ord) - 1)
 k AS (SELECT * FROM s WHERE (seq::HUGEINT * 2654435769 + ('0x' || substr(md5('7|' || ml || '|' || co), 1, 8))::BIGINT) % 4294967296 < 536870912)
 """
 
+_VOTES = r"""
+WITH a AS (SELECT item_id, coalesce(lower(trim(rater)), '') AS rater, submitted_utc, row_id, q1, q2, q3, q4, q5 FROM main_r1 WHERE item_id IS NOT NULL
+  UNION ALL SELECT item_id, coalesce(lower(trim(rater)), ''), submitted_utc, row_id, q1, q2, q3, q4, q5 FROM main_r2 WHERE item_id IS NOT NULL),
+l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY item_id, rater ORDER BY submitted_utc DESC NULLS LAST, row_id DESC) = 1),
+u AS (SELECT item_id, rater, unnest(['q1', 'q2', 'q3', 'q4', 'q5']) AS question, unnest([q1, q2, q3, q4, q5]) AS label FROM l
+  UNION ALL SELECT item_id, 'reader1', unnest(['q1_longest', 'q2_repetition', 'q3_absolute']), unnest([reader1_q1_longest, reader1_q2_repetition, reader1_q3_absolute]) FROM reader_check
+  UNION ALL SELECT item_id, 'reader2', unnest(['q1_longest', 'q2_repetition', 'q3_absolute']), unnest([reader2_q1_longest, reader2_q2_repetition, reader2_q3_absolute]) FROM reader_check),
+v AS (SELECT item_id, question, rater, lower(trim(label)) AS label FROM u WHERE trim(label) <> ''),
+c0 AS (SELECT item_id, question, label, count(*) AS n FROM v GROUP BY item_id, question, label),
+c AS (SELECT *, sum(n) OVER (PARTITION BY item_id, question) AS m FROM c0)
+"""
+
 ORACLE: dict[str, str] = {
+    "p7_found": _VOTES + "SELECT item_id, question, label FROM c WHERE n >= 2 AND 2 * n > m",
+    "p7_agreement": _VOTES
+    + """, d AS (SELECT * FROM c WHERE m >= 2),
+t AS (SELECT question, sum(k * k) AS sq FROM (SELECT question, label, sum(n) AS k FROM d GROUP BY question, label) GROUP BY question),
+s AS (SELECT question, sum(n)::DOUBLE AS nn, sum(n * (m - n) / (m - 1))::DOUBLE AS df FROM d GROUP BY question)
+SELECT question, nn::BIGINT AS n_votes, round(1 - df / nn, 6) AS raw_agreement,
+  round(1 - (df / nn) / ((nn * nn - sq) / (nn * (nn - 1))), 6) AS alpha FROM s JOIN t USING (question)""",
+    "p8_found": r"""
+WITH i AS (SELECT itemnum, string_split(trim(regexp_replace(lower(itemstem_text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM reference_items),
+p AS (SELECT itemnum, ' ' || array_to_string(w[g:g + 12], ' ') || ' ' AS p FROM i, unnest(generate_series(1, len(w) - 12)) AS s(g)),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+q AS (SELECT doc_id, ' ' || array_to_string(w[g:g + 12], ' ') || ' ' AS p FROM d, unnest(generate_series(1, len(w) - 12)) AS s(g))
+SELECT DISTINCT doc_id, itemnum FROM q JOIN p USING (p)""",
     "p3_found": "\nUNION ALL\n".join(
         f"""(SELECT lower(trim(job_id, ' ')) AS job_id, '{f}' AS field_name,
   first(ord ORDER BY coalesce(analysed, false) DESC, (parse_error IS NOT NULL AND lower(trim(parse_error)) NOT IN ('', 'none')),
