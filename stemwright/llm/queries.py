@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemwright.llm import consensus, fusion, leaks, mixing, near_duplicates, sampling, truncation
+from stemwright.llm import consensus, entity_map, fusion, leaks, mixing, near_duplicates, sampling, truncation
 from stemwright.session import cut, table
 
 
@@ -154,6 +154,29 @@ def p6_hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.length_hazards(_long_texts(spark, sf_dir), ["provider", "field_name"]).filter("significant")
 
 
+# ---- problem 1: typed ratings to the entries of the rating lists
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that are not blank and not exactly an entry of their question, with the entry meant."""
+    main = table(spark, sf_dir, "main_r2").select(F.lit("main_r2").alias("src"), "row_id", F.array(F.struct(F.lit("q5").alias("grp"), F.col("q5_raw").alias("raw"))).alias("c"))
+    cal = table(spark, sf_dir, "calibration_r2").select(
+        F.lit("calibration_r2").alias("src"), "row_id",
+        F.array(*[F.struct(F.lit(q).alias("grp"), F.col(f"{q}_raw").alias("raw")) for q in ("q1", "q2")]).alias("c"),
+    )
+    entries = table(spark, sf_dir, "rating_entries").select(F.col("question").alias("grp"), "entry", "entry_id")
+    cells = main.unionByName(cal).select("src", "row_id", F.explode("c").alias("c")).select("src", "row_id", "c.grp", "c.raw").filter(r"raw rlike '(?U)\\S'")
+    exact = F.broadcast(entries.select("grp", F.col("entry").alias("raw")))  # rating_entries is a fixed table of 21 rows
+    return entity_map.map_cells(cells.join(exact, ["grp", "raw"], "left_anti"), entries)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("src", "row_id", F.concat("grp", F.lit("_raw")).alias("field_name"), "entry_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that mean no entry of their list, or two, with how often each was typed."""
+    return _mapped(spark, sf_dir).filter("entry_id = 0").groupBy("grp", "raw").agg(F.count("*").alias("n_cells"))
+
+
 # ---- problem 7: consensus of several raters
 _STRIP = r"(?U)^\s+|\s+$"
 _READER = {"q1_longest": "q1_longest", "q2_repetition": "q2_repetition", "q3_absolute": "q3_absolute"}
@@ -248,6 +271,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_unmatched": p1_unmatched,
     "p7_found": p7_found, "p7_consensus": p7_consensus, "p7_agreement": p7_agreement, "p7_raters": p7_raters,
     "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_truth": p3_truth, "p3_sources": p3_sources, "p4_sample": p4_sample, "p4_shares": p4_shares,
