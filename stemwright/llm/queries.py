@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemwright.llm import consensus, entity_map, fusion, leaks, mixing, near_duplicates, sampling, truncation
+from stemwright.llm import consensus, entity_map, fusion, leaks, mixing, mojibake, near_duplicates, sampling, truncation
 from stemwright.session import cut, table
 
 
@@ -270,7 +270,27 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+# ---- problem 10: garbled documents
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("source"), "text").filter("text is not null")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled_documents(_texts(spark, sf_dir))[0].select("doc_id")
+
+
+def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _texts(spark, sf_dir)
+    return mojibake.restored_documents(texts, *mojibake.garbled_documents(texts))
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source has which wrong reading."""
+    return mojibake.garbled_documents(_texts(spark, sf_dir))[0].groupBy("source", "swap").agg(F.count("*").alias("n_docs"))
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_restored": p10_restored, "p10_sources": p10_sources,
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
     "p7_found": p7_found, "p7_consensus": p7_consensus, "p7_agreement": p7_agreement, "p7_raters": p7_raters,
     "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
