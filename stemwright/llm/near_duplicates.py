@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemwright.llm import golay
+from stemwright.llm.samples import bounded_sample
 from stemwright.session import cut
 
 SEGMENTS = 8
@@ -146,15 +147,15 @@ def similar_texts(
     """Pairs (h_a < h_b, jaccard) of different texts whose shingle sets have at least the given similarity.
 
     texts: rows (row_id unique, h = hash of norm, norm with at least n words); copies share h and count
-    once. Which shingles are common is learned on sample_rows texts picked by the hash of row_id; all
-    texts are indexed. Candidates agree in an anchor and a nearby codeword index of one segment and
+    once. Which shingles are common is learned on about sample_rows texts picked by the hash of row_id;
+    all texts are indexed. Candidates agree in an anchor and a nearby codeword index of one segment and
     differ in at most most_flips of 184 bits; their similarity is then computed exactly.
     Two texts with equal 64-bit h would count as copies. An empty table gives no pairs.
     """
     spark = texts.sparkSession
     # Copies of one hash value are joined on the anchor alone; a hash partitioning by it serves (anchor, index).
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    sample = texts.orderBy(F.xxhash64("row_id"), "row_id").limit(sample_rows).select("norm")
+    sample = bounded_sample(texts, "row_id", sample_rows).select("norm")
     common = common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share)
     sigs = cut(signature_table(texts, common, n).dropDuplicates(["h"]), "golay-signatures")
     prints = [f"f{i}" for i in range(SEGMENTS // 2)]

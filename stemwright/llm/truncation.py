@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stemwright.llm.samples import bounded_sample
+
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|�+|\[\s*(?:…|\.{3})\s*\]))+\s*$")
 _ASIDE = re.compile(r"\s*\([^()]*\)\s*$")
 _FINISHED = r"(?U)[.?!:][\s\"'”’»)\]]*$"
@@ -169,12 +171,13 @@ def truncated(
 ) -> DataFrame:
     """(row_id, field_name) of cut texts among rows (row_id, field_name, text, groups..., n_chars).
 
-    The ending model is fitted on sample_rows finished texts, picked by the hash of row_id; every text is
-    judged whole. NULL and blank texts are never cases; a text of one word is judged like any other.
+    The ending model is fitted on the finished texts among about sample_rows texts, picked by the hash of
+    row_id; every text is judged whole. NULL and blank texts are never cases; a text of one word is judged like any other.
     """
     sample = (
-        texts.filter(F.col("text").isNotNull() & ~may_be_cut(F.col("text")) & F.col("text").rlike(r"\S"))
-        .orderBy(F.xxhash64("row_id", "field_name"), "row_id").limit(sample_rows).select("text")
+        bounded_sample(texts, "row_id", sample_rows)
+        .filter(F.col("text").isNotNull() & ~may_be_cut(F.col("text")) & F.col("text").rlike(r"\S"))
+        .select("text")
     )
     weights, known = fit_endings(sorted({r[0] for r in sample.toLocalIterator()}))
     lengths = length_hazards(texts, groups).filter("significant").select(*groups, "n_chars", "significant")
