@@ -13,7 +13,7 @@ KEY = ["question", "item_id"]
 
 def label_counts(votes: DataFrame) -> DataFrame:
     """votes (item_id, question, rater, label) -> one row per item, question and label with n and n_votes."""
-    counts = votes.groupBy(*KEY, "label").agg(F.count("*").alias("n"))
+    counts = votes.dropna(subset=[*KEY, "label"]).groupBy(*KEY, "label").agg(F.count("*").alias("n"))
     return counts.withColumn("n_votes", F.sum("n").over(W.partitionBy(*KEY)))
 
 
@@ -73,8 +73,9 @@ def annotator_model(votes: DataFrame, smoothing: float = 1.0, rounds: int = 6, t
     shares of votes. Raters' matrices are the only state between rounds and are written to the shared
     folder; votes and items are only ever aggregated, so an item may have any number of votes.
     reliabilities: question, rater, n_votes, reliability = chance that the rater gives the true label.
-    Empty votes give empty tables.
+    Votes with a NULL are left out; empty votes give empty tables.
     """
+    votes = votes.select(*KEY, "rater", "label").dropna()
     shares = label_counts(votes).select(*KEY, F.col("label").alias("truth"), (F.col("n") / F.col("n_votes")).alias("p"))
     confusions = cut(_confusions(votes, shares, smoothing), "confusions")
     for _ in range(rounds - 1):

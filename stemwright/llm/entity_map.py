@@ -113,9 +113,11 @@ def map_cells(cells: DataFrame, entries: DataFrame, similarity: float = 0.4) ->
 
     entries: (grp, entry, entry_id), a bounded list; every entry is matched by its own text and its
     aliases. Each distinct core is mapped once, so repeated cells cost one match; a part offered next to
-    an entry but unlike any entry doesn't count. NULL and blank cells get 0.
+    an entry but unlike any entry doesn't count. NULL and blank cells get 0. Other columns are kept, but for
+    core, entry_id and jaccard, which are set anew.
     """
     spark = cells.sparkSession
+    cells = cells.drop("core", "entry_id", "jaccard")
     cored = cells.withColumn("core", rating_core(F.col("raw")))
     cores = cut(cored.select("grp", "core").distinct().withColumn("parts", alternatives(F.col("core"))), "map-cores")
     rows = [(entry, alias) for entry, aliases in ALIASES.items() for alias in aliases]

@@ -41,6 +41,7 @@ def truth_discovery(claims: DataFrame, rounds: int = 10, tolerance: float = 1e-3
     more than `tolerance`, or after `rounds`. NULL values make no claim; empty claims give empty tables.
     truths: entity, field_name, value, support (share of weight), n_claims.
     """
+    claims = claims.select("entity", "field_name", "value", "source").filter("entity is not null and source is not null")
     votes = cut(
         claims.filter("value is not null").groupBy("entity", "field_name", "value", "source").agg(F.count("*").alias("n")),
         "truth-votes",

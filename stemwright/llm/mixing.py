@@ -85,8 +85,10 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
     documents: doc_id, source, copies, n_tokens; shares: one row per target source.
     """
     spark = sizes.sparkSession
+    sizes = sizes.select("doc_id", "source", "n_tokens")
     goals = {r.source: r for r in targets.collect()}
-    named = cut(sizes.join(F.broadcast(targets.select("source")), "source").filter("n_tokens > 0"), "mix-sizes")
+    targets = targets.select("source")
+    named = cut(sizes.join(F.broadcast(targets), "source").filter("n_tokens > 0"), "mix-sizes")
     available = {r[0]: r[1] for r in named.groupBy("source").agg(F.sum("n_tokens")).collect()}
     capacity = {s: available.get(s, 0) * g.max_repeats for s, g in goals.items()}
     budget = water_fill({s: g.target_share for s, g in goals.items()}, capacity, total or sum(available.values()))

@@ -153,6 +153,7 @@ def similar_texts(
     Two texts with equal 64-bit h would count as copies. An empty table gives no pairs.
     """
     spark = texts.sparkSession
+    texts = texts.select("row_id", "h", "norm").filter("h is not null and norm is not null")
     # Copies of one hash value are joined on the anchor alone; a hash partitioning by it serves (anchor, index).
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     sample = bounded_sample(texts, "row_id", sample_rows).select("norm")

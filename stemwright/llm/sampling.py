@@ -16,6 +16,7 @@ def sequence_numbers(keys: DataFrame, strata: list[str], position: str) -> DataF
     Positions are counted in blocks of BUCKET, so no task ever sorts a whole stratum; the numbers don't
     depend on the partitioning, and keys at later positions don't change them.
     """
+    keys = keys.drop("seq", "_block", "_inside", "_n", "_offset")
     blocked = keys.withColumn("_block", F.floor(F.col(position) / BUCKET))
     counts = blocked.groupBy(*strata, "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*strata).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))

@@ -174,6 +174,7 @@ def truncated(
     The ending model is fitted on the finished texts among about sample_rows texts, picked by the hash of
     row_id; every text is judged whole. NULL and blank texts are never cases; a text of one word is judged like any other.
     """
+    texts = texts.select("row_id", "field_name", "text", "n_chars", *[g for g in groups if g != "field_name"])
     sample = (
         bounded_sample(texts, "row_id", sample_rows)
         .filter(F.col("text").isNotNull() & ~may_be_cut(F.col("text")) & F.col("text").rlike(r"\S"))
