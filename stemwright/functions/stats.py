@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column, Column]:
     """(share, low, high) of k among n, within 0 and 1; NaN where n = 0."""
-    p = k / n
-    d = 1 + z * z / n
-    centre = (p + z * z / (2 * n)) / d
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
+    m = F.nullif(n, F.lit(0))  # NULL where there are no cases, so nothing is divided by 0
+    p = k / m
+    d = 1 + z * z / m
+    centre = (p + z * z / (2 * m)) / d
+    half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / d
     nan = F.lit(float("nan"))
     return (
         F.when(n > 0, p).otherwise(nan),
@@ -55,13 +56,13 @@ def bh_adjusted(df: DataFrame, p: str, family: list[str], order: list[str]) -> D
 def kappa(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     """Cohen's kappa of a 2x2 table; NaN where n = 0 or agreement is certain by chance."""
     n = tp + fp + fn + tn
-    po = (tp + tn) / n
-    pe = ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n)
-    return F.when((n > 0) & (pe < 1), (po - pe) / (1 - pe)).otherwise(F.lit(float("nan")))
+    po = F.try_divide(tp + tn, n)
+    pe = F.try_divide((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn), n * n)
+    return F.coalesce(F.try_divide(po - pe, 1 - pe), F.lit(float("nan")))
 
 
 def ratio(a: Column, b: Column, undefined: float = 0.0) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(undefined))
+    return F.coalesce(F.try_divide(a, b), F.lit(undefined))
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column, tn: Column, undefined: float = 0.0) -> dict[str, Column]:
@@ -76,8 +77,9 @@ def precision_recall(tp: Column, fp: Column, fn: Column, tn: Column, undefined:
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column]:
     """Crude odds ratio of a, b against c, d with its Woolf interval; NULL where a cell is 0."""
     whole = (a > 0) & (b > 0) & (c > 0) & (d > 0)
-    value = F.when(whole, a * d / (b * c))
-    half = 1.96 * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    value = F.when(whole, F.try_divide(a * d, b * c))
+    one = F.lit(1.0)
+    half = 1.96 * F.sqrt(F.try_divide(one, a) + F.try_divide(one, b) + F.try_divide(one, c) + F.try_divide(one, d))
     return value, F.exp(F.log(value) - half), F.exp(F.log(value) + half)
 
 

@@ -159,7 +159,7 @@ def prepared(items: DataFrame, version: str = "1.2") -> DataFrame:
         {
             "_key_words": tx.content_words(F.col("_key_text"), version),
             "_values": F.filter(F.transform("_texts", tx.num_value), lambda v: v.isNotNull()),
-            "_mean_words": F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x) / F.size("_counts"),
+            "_mean_words": F.aggregate("_counts", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("_counts"), F.lit(1)),
             "_absolute": F.transform("_texts", lambda t: F.array_intersect(tx.tokens(_exempted(t, version)), _strings(ABSOLUTE_TERMS))),
         }
     ).withColumns(
@@ -170,7 +170,7 @@ def prepared(items: DataFrame, version: str = "1.2") -> DataFrame:
                 lambda w: F.size(F.array_intersect("_stem_words", w)) / F.greatest(F.size(w), F.lit(1)).cast("double"),
             ),
             "_spread": F.sqrt(
-                F.aggregate("_counts", F.lit(0.0), lambda a, x: a + (x - F.col("_mean_words")) * (x - F.col("_mean_words"))) / F.size("_counts")
+                F.aggregate("_counts", F.lit(0.0), lambda a, x: a + (x - F.col("_mean_words")) * (x - F.col("_mean_words"))) / F.greatest(F.size("_counts"), F.lit(1))
             ),
         }
     ).withColumn("_exclusive", F.array_except("_shared", F.flatten("_other_words")))
@@ -227,7 +227,7 @@ def rule_columns(version: str = "1.2", at: Thresholds = Thresholds()) -> dict[st
         by_form = F.col("_has_key") & (n >= 3) & _is_sentence(F.col("_key_text")) & ~others_sentence
 
     n_numeric = F.size(F.filter("_numeric", lambda x: x))
-    uneven = (F.col("_mean_words") >= 3) & (F.col("_spread") / F.col("_mean_words") > at.nonparallel_cv)
+    uneven = (F.col("_mean_words") >= 3) & (F.try_divide("_spread", "_mean_words") > at.nonparallel_cv)
     nonparallel = (n >= 3) & (
         ((n_numeric >= 2) & (n_numeric < n)) | _some_not_all(F.transform(texts, _is_sentence)) | uneven
     )
@@ -279,7 +279,7 @@ def detect(items: DataFrame, version: str = "1.2", at: Thresholds = Thresholds()
     carried = keep if keep is not None else [c for c in items.columns if c not in ("options", "answer")]
     flagged = prepared(items, version).withColumns({k: c.cast("int") for k, c in rule_columns(version, at).items()})
     total = reduce(lambda a, b: a + b, [F.col(r) for r in RULES])
-    mean_other = F.aggregate("_others", F.lit(0.0), lambda a, x: a + F.length(x)) / F.size("_others")
+    mean_other = F.aggregate("_others", F.lit(0.0), lambda a, x: a + F.length(x)) / F.greatest(F.size("_others"), F.lit(1))
     return flagged.select(
         *carried, *FLAGS, total.alias("n_flaws"), F.size("_texts").alias("n_options"), F.col("_key").alias("key"),
         F.size(tx.words(F.col("_stem"))).alias("stem_words"), F.length("_key_text").alias("key_chars"),
@@ -299,7 +299,7 @@ def evidence(items: DataFrame, version: str = "1.2") -> DataFrame:
     base = [c for c in items.columns if c not in ("options", "answer")]
     return prepared(items, version).select(
         *base, F.col("_lead").alias("lead_in"), F.transform("_texts", F.length).alias("option_chars"),
-        F.round(F.length("_key_text") / longest_other, 2).alias("key_to_longest_distractor_ratio"),
+        F.round(F.try_divide(F.length("_key_text"), longest_other), 2).alias("key_to_longest_distractor_ratio"),
         hits.alias("absolute_hits"), vague.alias("vague_hits"), F.array_sort("_exclusive").alias("clang_words"),
     )
 

@@ -65,11 +65,19 @@ def _table(names: list[str], beta: np.ndarray, cov: np.ndarray) -> list[dict]:
     return rows
 
 
-def logit_cluster(
+def logit_cluster(df: DataFrame, outcome: str, terms: list[str], categorical: dict[str, str], cluster: str, **control: float) -> list[dict]:
+    """Coefficient table of logit_fit()."""
+    return _table(*logit_fit(df, outcome, terms, categorical, cluster, **control))
+
+
+def logit_fit(
     df: DataFrame, outcome: str, terms: list[str], categorical: dict[str, str], cluster: str,
     max_iter: int = 100, tolerance: float = 1e-9, ridge: float = 1e-8,
-) -> list[dict]:
-    """Logistic regression with cluster-robust (sandwich) errors; rows with NULL in any column used are left out."""
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(names, coefficients, covariance) of a logistic regression with cluster-robust (sandwich) errors.
+
+    Rows with NULL in any column used are left out.
+    """
     used = df.select(outcome, cluster, *terms, *categorical).dropna()
     rows, names = design(used, terms, categorical, [outcome, cluster])
     rows = rows.persist()
@@ -106,7 +114,7 @@ def logit_cluster(
         meat = _summed(by, p, lambda x, batch: {"m": x.T @ x, "g": np.array([len(batch)]), "n": np.array([batch["n"].sum()])})
         g, n = float(meat["g"][0]), round(float(meat["n"][0]))
         small = (g / (g - 1)) * ((n - 1) / (n - p)) if g > 1 and n > p else math.nan
-        return _table(names, beta, small * bread @ meat["m"].reshape(p, p) @ bread)
+        return names, beta, small * bread @ meat["m"].reshape(p, p) @ bread
     finally:
         rows.unpersist()
 

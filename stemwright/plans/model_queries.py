@@ -59,9 +59,8 @@ def model_contrasts(spark, sf_dir):
     out = []
     levels = sorted(r[0] for r in df.select("model_label").distinct().collect())
     for condition in ("plain", "guided"):
-        rows = fit.logit_cluster(df.filter(F.col("condition") == condition), "any_flaw", [], {"model_label": levels[0]}, "topic")
-        beta, se = np.array([r["coef"] for r in rows[1:]]), np.array([r["se"] for r in rows[1:]])
-        out += [{"condition": condition, **c} for c in fit.deviation_contrasts(beta, np.diag(np.nan_to_num(se) ** 2), levels)]
+        _, beta, cov = fit.logit_fit(df.filter(F.col("condition") == condition), "any_flaw", [], {"model_label": levels[0]}, "topic")
+        out += [{"condition": condition, **c} for c in fit.deviation_contrasts(beta[1:], cov[1:, 1:], levels)]
     return _frame(spark, out, "condition string, level string, effect double, se double")
 
 
