@@ -122,6 +122,6 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: float | None = None, se
             "source string, target_share double, max_repeats int, tokens_available long, tokens_planned double"))
         .join(used, "source", "left")
         .withColumn("tokens_used", F.coalesce("tokens_used", F.lit(0)))
-        .withColumn("share_reached", F.col("tokens_used") / F.sum("tokens_used").over(W.partitionBy()))
+        .withColumn("share_reached", F.try_divide("tokens_used", F.sum("tokens_used").over(W.partitionBy())))
     )
     return documents, shares

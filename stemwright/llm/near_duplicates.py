@@ -23,6 +23,7 @@ from stemwright.llm.samples import bounded_sample
 from stemwright.session import cut
 
 SEGMENTS = 8
+COMMON_SHARE = 0.002  # shingles in more than this share of texts are no anchors
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(SEGMENTS)], dtype=np.uint64)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 _CACHE_WORDS = 500_000
@@ -102,19 +103,38 @@ def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray
     return prints, anchors.view(np.int64)
 
 
-def signature_table(texts: DataFrame, common: np.ndarray, n: int) -> DataFrame:
-    """(h, f0..f3, a0..a7) for rows (h, norm), computed batch by batch."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
-    names = ["h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(SEGMENTS))]
+def with_words(texts: DataFrame, n: int) -> DataFrame:
+    """texts (row_id, text, ...) of n words or more, with norm and its hash h; NULL texts have no words."""
+    enough = "[a-z0-9]+" + "[^a-z0-9]+[a-z0-9]+" * (n - 1)
+    return texts.filter(F.lower("text").rlike(enough)).withColumn("norm", normalised(F.col("text"))).withColumn("h", F.xxhash64("norm"))
+
+
+def index_texts(
+    texts: DataFrame, carry: list[str] = (), n: int = 3, sample_rows: int = 20_000, common_share: float = COMMON_SHARE
+) -> DataFrame:
+    """The written index: (row_id, h, fingerprint f0..f3, anchors a0..a7, carried columns), one row for each text of n words or more.
+
+    texts: rows (row_id unique, text, carried columns). Which shingles are common is learned on about
+    sample_rows texts picked by the hash of row_id; every text is indexed, in Arrow batches.
+    """
+    spark = texts.sparkSession
+    texts = texts.select("row_id", "text", *carry)
+    sample = with_words(bounded_sample(texts, "row_id", sample_rows), n).select("norm")
+    shared = spark.sparkContext.broadcast(common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share))
+    names = ["row_id", "h", *carry]
+    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(SEGMENTS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 prints, anchors = signatures(batch.column("norm").to_pylist(), shared.value, n)
-                arrays = [batch.column("h"), *(pa.array(c) for c in (*prints.T, *anchors.T))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                arrays = [*(batch.column(c) for c in names), *(pa.array(c) for c in (*prints.T, *anchors.T))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *numbers])
 
-    return texts.select("h", "norm").mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in names]))
+    worded = with_words(texts, n).select(*names, "norm")
+    kept = T.StructType([f for f in worded.schema.fields if f.name in names])
+    schema = T.StructType([*kept.fields, *(T.StructField(c, T.LongType()) for c in numbers)])
+    return cut(worded.mapInArrow(run, schema), "golay-index")
 
 
 def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
@@ -137,28 +157,20 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
 
 
 def similar_texts(
-    texts: DataFrame,
-    similarity: float = 0.5,
-    n: int = 3,
-    sample_rows: int = 20_000,
-    common_share: float = 0.001,
-    most_flips: int = 40,
+    index: DataFrame, texts: DataFrame, similarity: float = 0.5, n: int = 3, most_flips: int = 44, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """Pairs (h_a < h_b, jaccard) of different texts whose shingle sets have at least the given similarity.
 
-    texts: rows (row_id unique, h = hash of norm, norm with at least n words); copies share h and count
-    once. Which shingles are common is learned on about sample_rows texts picked by the hash of row_id;
-    all texts are indexed. Candidates agree in an anchor and a nearby codeword index of one segment and
-    differ in at most most_flips of 184 bits; their similarity is then computed exactly.
-    Two texts with equal 64-bit h would count as copies. An empty table gives no pairs.
+    index: index_texts() of the same texts (row_id, text). Copies share h and count once; two texts with
+    equal 64-bit h would count as copies. Candidates agree in an anchor and a nearby codeword index of one
+    segment and differ in at most most_flips of 184 bits; their similarity is then computed exactly.
+    The ids of candidates are broadcast if there are at most broadcast_ids, else joined by a shuffle.
+    An empty index gives no pairs.
     """
-    spark = texts.sparkSession
-    texts = texts.select("row_id", "h", "norm").filter("h is not null and norm is not null")
-    # Copies of one hash value are joined on the anchor alone; a hash partitioning by it serves (anchor, index).
+    spark = index.sparkSession
+    # Keys are partitioned by their anchor alone; with this, that serves the join on anchor and index.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    sample = bounded_sample(texts, "row_id", sample_rows).select("norm")
-    common = common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share)
-    sigs = cut(signature_table(texts, common, n).dropDuplicates(["h"]), "golay-signatures")
+    sigs = index.select("row_id", "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(SEGMENTS))).dropDuplicates(["h"])
     prints = [f"f{i}" for i in range(SEGMENTS // 2)]
     mask = (1 << golay.LENGTH) - 1
     segments = [
@@ -192,7 +204,10 @@ def similar_texts(
         "golay-candidates",
     )
     ids = pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct()
-    held = texts.join(ids, "h", "left_semi").groupBy("h").agg(F.first("norm").alias("norm"))
+    # One row stands for each text, so that only the texts of candidates are read and normalised again.
+    one = cut(index.select("row_id", "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("row_id").alias("row_id")).select("row_id"), "golay-ids")
+    one = F.broadcast(one) if one.count() <= broadcast_ids else one
+    held = with_words(texts.select("row_id", "text").join(one, "row_id", "left_semi"), n)
     sets = cut(shingle_sets(held, n), "golay-shingles")
     both = pairs.join(sets.select(F.col("h").alias("h_a"), F.col("s").alias("s_a")), "h_a").join(
         sets.select(F.col("h").alias("h_b"), F.col("s").alias("s_b")), "h_b"

@@ -122,8 +122,11 @@ def test_golay_code(spark):
 
 
 def _stems(spark, texts):
-    df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "row_id long, text string, jaccard string")
-    return df.withColumn("norm", near_duplicates.normalised(F.col("text"))).filter("norm rlike '^[^ ]+ [^ ]+ [^ ]+'").withColumn("h", F.xxhash64("norm"))
+    return spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "row_id long, text string, jaccard string")
+
+
+def _similar(df, **at):
+    return near_duplicates.similar_texts(near_duplicates.index_texts(df), df, **at)
 
 
 def test_similar_texts_against_all_pairs(spark):
@@ -140,8 +143,11 @@ def test_similar_texts_against_all_pairs(spark):
             texts.append(" ".join(copy))
     texts += [texts[0]] * 50 + [None, "", "two words", "w1 w2 w3"]
     df = _stems(spark, texts)
-    found = {(r.h_a, r.h_b) for r in near_duplicates.similar_texts(df).collect()}
-    shingles = {r.h: {tuple(r.norm.split()[i : i + 3]) for i in range(len(r.norm.split()) - 2)} for r in df.collect()}
+    found = {(r.h_a, r.h_b) for r in _similar(df).collect()}
+    assert found == {(r.h_a, r.h_b) for r in _similar(df, broadcast_ids=0).collect()}
+    rows = near_duplicates.with_words(df, 3).collect()
+    assert len(rows) == len(texts) - 3
+    shingles = {r.h: {tuple(r.norm.split()[i : i + 3]) for i in range(len(r.norm.split()) - 2)} for r in rows}
     ids = sorted(shingles)
     wanted = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 2 * len(shingles[a] & shingles[b]) >= len(shingles[a] | shingles[b])}
     assert not found - wanted
@@ -149,7 +155,7 @@ def test_similar_texts_against_all_pairs(spark):
 
 
 def test_similar_texts_empty(spark):
-    assert near_duplicates.similar_texts(_stems(spark, [None, ""])).count() == 0
+    assert _similar(_stems(spark, [None, "", "two words"])).count() == 0
 
 
 def test_components(spark):
