@@ -167,7 +167,7 @@ def judged(texts: DataFrame, weights: np.ndarray, known: frozenset[str]) -> Data
 
 
 def truncated(
-    texts: DataFrame, groups: list[str], sample_rows: int = 2_500, doubt: float = 0.0, more_doubt: float = 2.2
+    texts: DataFrame, groups: list[str], sample_rows: int = 8_000, doubt: float = 0.0, more_doubt: float = 2.2
 ) -> DataFrame:
     """(row_id, field_name) of cut texts among rows (row_id, field_name, text, groups..., n_chars).
 
