@@ -82,6 +82,14 @@ def tier_welch(spark, sf_dir):
     return spark.createDataFrame([(round(t, 5), round(df, 5))], "t double, df double")
 
 
+def tier_intervals(spark, sf_dir):
+    """Q7/ST12: mean rate of the models of each tier with its t interval."""
+    by: dict[str, list[float]] = {}
+    for r in _model_rates(spark, sf_dir).orderBy("model_label").collect():  # one row for each model
+        by.setdefault(r.tier, []).append(r.rate)
+    return spark.createDataFrame([(t, len(v), *[round(x, 6) for x in exact.t_interval(v)]) for t, v in sorted(by.items())], "tier string, n_models int, mean double, lo double, hi double")
+
+
 def topic_bootstrap(spark, sf_dir):
     """Q7/ST24: interval of the share with a flaw by resampling topics, given as sums and sizes."""
     rows = main_flags(spark, sf_dir).groupBy("topic").agg(F.sum("any_flaw").alias("s"), F.count("*").alias("n")).orderBy("topic").collect()
@@ -154,7 +162,7 @@ def self_checks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    logit_guided, logit_guided_errors, logit_adjusted, pooled_odds, model_contrasts, tier_permutation, tier_welch, topic_bootstrap,
+    logit_guided, logit_guided_errors, logit_adjusted, pooled_odds, model_contrasts, tier_permutation, tier_welch, tier_intervals, topic_bootstrap,
     psychometrics_ols, psychometrics_difference, source_comparison, source_logit, dose_response, self_checks)}
 
 _ABCD = """count(*) FILTER (WHERE guided = 1 AND any_flaw = 1)::DOUBLE AS a, count(*) FILTER (WHERE guided = 1 AND any_flaw = 0)::DOUBLE AS b,
@@ -172,6 +180,9 @@ SELECT k::INT AS n_models, round(mean, 6) AS mean, round(se, 6) AS se, round(tau
     "tier_welch": f"""WITH {FLAGS_SQL}, r AS (SELECT model_label, min(tier) AS tier, avg(any_flaw) AS rate FROM main WHERE condition = 'plain' GROUP BY model_label),
 s AS (SELECT (tier = 'flagship') AS f, avg(rate) AS m, var_samp(rate) / count(*) AS v, count(*) AS n FROM r GROUP BY 1)
 SELECT round((x.m - y.m) / sqrt(x.v + y.v), 5) AS t, round(pow(x.v + y.v, 2) / (pow(x.v, 2) / (x.n - 1) + pow(y.v, 2) / (y.n - 1)), 5) AS df FROM s x, s y WHERE x.f AND NOT y.f""",
+    "tier_intervals": f"""WITH {FLAGS_SQL}, r AS (SELECT model_label, min(tier) AS tier, avg(any_flaw) AS rate FROM main WHERE condition = 'plain' GROUP BY model_label),
+s AS (SELECT tier, count(*) AS n, avg(rate) AS m, {exact.T_975}[(count(*) - 1)::INT] * stddev_samp(rate) / sqrt(count(*)) AS h FROM r GROUP BY tier)
+SELECT tier, n::INT AS n_models, round(m, 6) AS mean, round(m - h, 6) AS lo, round(m + h, 6) AS hi FROM s""",
     "self_checks": """SELECT * FROM (VALUES ('wilson 98 of 400, low', 20.5::DOUBLE, 20.5::DOUBLE, true), ('wilson 98 of 400, high', 28.9, 28.9, true),
 ('chi2 of five letters', 302.1, 302.1, true), ('kappa of 8, 5, 4, 83', 0.59, 0.59, true), ('splits of 15 models', 6435.0, 6435.0, true)) AS t(label, computed, expected, ok)""",
 }

@@ -197,6 +197,20 @@ def design_weighted(spark, sf_dir):
     return df.join(weights, "stratum").groupBy("rule").agg(F.count("*").alias("n_items"), F.round(pr["precision"], 6).alias("precision"), F.round(pr["recall"], 6).alias("recall"))
 
 
+def design_weighted_intervals(spark, sf_dir):
+    """ST25: bootstrap intervals of the weighted precision: cell counts of each stratum are drawn again, so only counts move."""
+    population = flags(spark, sf_dir).groupBy(_stratum().alias("stratum")).agg(F.count("*").alias("pop"))
+    cells = _reader_cells(spark, sf_dir).withColumn("z", ((F.col("a") == "yes") & (F.col("b") == "yes")).cast("int"))
+    counts = cells.groupBy("rule", "stratum", "d", "z").agg(F.count("*").alias("n")).join(population, "stratum")
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        strata = {s: (int(g["pop"].iloc[0]), g["d"].to_numpy(), g["z"].to_numpy(), g["n"].to_numpy()) for s, g in batch.groupby("stratum")}
+        low, high = exact.stratified_precision(strata)
+        return pd.DataFrame([(batch["rule"].iloc[0], low, high)], columns=["rule", "precision_lo", "precision_hi"])
+
+    return counts.groupBy("rule").applyInPandas(run, "rule string, precision_lo double, precision_hi double")
+
+
 def selection_audit(spark, sf_dir):
     """SM7: rated items by prompt and specialty, and how many of them the readers saw too."""
     key = table(spark, sf_dir, "main_key").withColumn("job_id", F.lower(F.trim("job_id")))
@@ -222,7 +236,7 @@ def key_without_item(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     rating_problems, rating_contradictions, rating_normalisers, content_defects, rater_agreement, defect_agreement, defect_kappa_interval,
-    defect_crosstab, defect_fisher, reader_agreement, reader_mcnemar, reader_exact_bounds, design_weighted, selection_audit, unmatched_ids, key_without_item)}
+    defect_crosstab, defect_fisher, reader_agreement, reader_mcnemar, reader_exact_bounds, design_weighted, design_weighted_intervals, selection_audit, unmatched_ids, key_without_item)}
 
 _R = ", ".join(["item_id", "upper(trim(rater)) AS rater", "row_id", "submitted_utc", "justification", *QS, *[f"{q}_raw" for q in QS]])
 _ROWS = f"r AS (SELECT {_R} FROM main_r1 UNION ALL SELECT {_R} FROM main_r2)"
