@@ -23,8 +23,9 @@ from stemwright.llm.samples import bounded_sample
 from stemwright.session import cut
 
 SEGMENTS = 8
+ANCHORS = 12  # rounds of keys: round t takes segment t mod 8 and an anchor hash of its own
 COMMON_SHARE = 0.002  # shingles in more than this share of texts are no anchors
-_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(SEGMENTS)], dtype=np.uint64)
+_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(ANCHORS)], dtype=np.uint64)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 _CACHE_WORDS = 500_000
 _words: dict[str, int] = {}
@@ -122,7 +123,7 @@ def index_texts(
     sample = with_words(bounded_sample(texts, "row_id", sample_rows), n).select("norm")
     shared = spark.sparkContext.broadcast(common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share))
     names = ["row_id", "h", *carry]
-    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(SEGMENTS))]
+    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,15 +171,15 @@ def similar_texts(
     spark = index.sparkSession
     # Keys are partitioned by their anchor alone; with this, that serves the join on anchor and index.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    sigs = index.select("row_id", "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(SEGMENTS))).dropDuplicates(["h"])
+    sigs = index.select("row_id", "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS))).dropDuplicates(["h"])
     prints = [f"f{i}" for i in range(SEGMENTS // 2)]
     mask = (1 << golay.LENGTH) - 1
     segments = [
         F.struct(
             F.col(f"a{t}").alias("anchor"),
-            F.shiftright(F.col(f"f{t // 2}"), golay.LENGTH * (t % 2)).bitwiseAND(F.lit(mask)).cast("int").alias("word"),
+            F.shiftright(F.col(f"f{t % SEGMENTS // 2}"), golay.LENGTH * (t % 2)).bitwiseAND(F.lit(mask)).cast("int").alias("word"),
         )
-        for t in range(SEGMENTS)
+        for t in range(ANCHORS)
     ]
     rows = (
         sigs.select("h", *prints, F.explode(F.array(*segments)).alias("s"))
