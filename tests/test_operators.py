@@ -75,6 +75,7 @@ def test_exact():
     assert round(exact.kappa(8, 5, 4, 83), 2) == 0.59 and math.isnan(exact.kappa(0, 0, 0, 0))
     assert exact.permutation_p([1, 2, 3, 4], [True, True, False, False])[1:] == (pytest.approx(2 / 6), 6)
     assert exact.pooled_random_effects([0.5, 0.5], [0.1, 0.1])["tau2"] == 0
+    assert all(type(v) is float for v in exact.pooled_random_effects([0.1, 0.9], [0.1, 0.1]).values())
     low, high = exact.kappa_interval(8, 5, 4, 83)
     assert low < 0.59 < high
 
