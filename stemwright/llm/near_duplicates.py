@@ -4,7 +4,8 @@ A text's fingerprint is eight segments of 23 bits; each word flips one bit of on
 word costs at most two bits and reordering costs none. With d differing words some segment has at most
 d/8 errors (pigeonhole); a segment with at most two errors shares a nearby codeword index. As texts here
 are written from templates, a 12-bit index alone selects badly, so each segment's keys carry an anchor:
-the smallest hash of the text's rare shingles, another hash function for each segment.
+the smallest hash of the text's rare shingles, another hash function for each round. Two anchors together are
+keys too, so that pairs of long texts, whose differing words fill every segment, still meet.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from stemwright.llm import golay
 from stemwright.llm.samples import bounded_sample
@@ -25,6 +27,8 @@ from stemwright.session import cut
 SEGMENTS = 8
 ANCHORS = 12  # rounds of keys: round t takes segment t mod 8 and an anchor hash of its own
 COMMON_SHARE = 0.002  # shingles in more than this share of texts are no anchors
+STEPS = (1, 2)  # the anchor of round t also meets those of rounds t + 1 and t + 2
+SKETCH = 4  # 64-bit words of a text's sketch
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(ANCHORS)], dtype=np.uint64)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
 _CACHE_WORDS = 500_000
@@ -80,8 +84,18 @@ def common_shingles(texts: list[str], n: int, share: float, least: int = 8) -> n
     return values[counts > max(share * len(texts), least)]
 
 
-def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint words (texts x 4, two segments in each) and anchors (texts x 8). Every text needs n words."""
+def _distinct(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text, sorted by text and hash."""
+    order = np.lexsort((code, doc))
+    code, doc = code[order], doc[order]
+    new = np.ones(len(code), dtype=bool)
+    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
+    return code[new], doc[new]
+
+
+def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprint words (texts x 4, two segments in each), anchors (texts x ANCHORS), sketches of the shingle sets
+    (texts x SKETCH; each shingle flips one bit) and numbers of shingles. Every text needs n words."""
     words, lengths = _hashed(texts)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     segment = (words % np.uint64(SEGMENTS)).astype(np.int64)
@@ -90,7 +104,14 @@ def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray
     prints = np.stack(
         [np.bitwise_xor.reduceat(np.where(segment // 2 == i, flips, 0), starts) for i in range(SEGMENTS // 2)], axis=1
     )
-    code, doc = shingle_hashes(words, lengths, n)
+    code, doc = _distinct(*shingle_hashes(words, lengths, n))
+    sizes = np.bincount(doc, minlength=len(texts))
+    place = _mix(code) % np.uint64(64 * SKETCH)
+    flips = np.uint64(1) << (place % np.uint64(64))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    sketches = np.stack(
+        [np.bitwise_xor.reduceat(np.where(place // np.uint64(64) == i, flips, np.uint64(0)), starts) for i in range(SKETCH)], axis=1
+    )
     if len(common):
         at = np.searchsorted(common, code)
         at[at == len(common)] = 0
@@ -101,7 +122,7 @@ def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray
         code, doc = code[keep], doc[keep]
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     anchors = np.stack([np.minimum.reduceat(_mix(code ^ seed), first) for seed in _SEEDS], axis=1)
-    return prints, anchors.view(np.int64)
+    return prints, anchors.view(np.int64), sketches.view(np.int64), sizes
 
 
 def with_words(texts: DataFrame, n: int) -> DataFrame:
@@ -113,7 +134,7 @@ def with_words(texts: DataFrame, n: int) -> DataFrame:
 def index_texts(
     texts: DataFrame, carry: list[str] = (), n: int = 3, sample_rows: int = 20_000, common_share: float = COMMON_SHARE
 ) -> DataFrame:
-    """The written index: (row_id, h, fingerprint f0..f3, anchors a0..a7, carried columns), one row for each text of n words or more.
+    """The written index: (row_id, h, fingerprint f0..f3, anchors a0..a11, sketch k0..k3, n_shingles, carried columns), one row for each text of n words or more.
 
     texts: rows (row_id unique, text, carried columns). Which shingles are common is learned on about
     sample_rows texts picked by the hash of row_id; every text is indexed, in Arrow batches.
@@ -123,13 +144,13 @@ def index_texts(
     sample = with_words(bounded_sample(texts, "row_id", sample_rows), n).select("norm")
     shared = spark.sparkContext.broadcast(common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share))
     names = ["row_id", "h", *carry]
-    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS))]
+    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS)), *(f"k{i}" for i in range(SKETCH)), "n_shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                prints, anchors = signatures(batch.column("norm").to_pylist(), shared.value, n)
-                arrays = [*(batch.column(c) for c in names), *(pa.array(c) for c in (*prints.T, *anchors.T))]
+                prints, anchors, sketches, sizes = signatures(batch.column("norm").to_pylist(), shared.value, n)
+                arrays = [*(batch.column(c) for c in names), *(pa.array(c) for c in (*prints.T, *anchors.T, *sketches.T, sizes))]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *numbers])
 
     worded = with_words(texts, n).select(*names, "norm")
@@ -144,61 +165,76 @@ def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                code, doc = shingle_hashes(*_hashed(batch.column("norm").to_pylist()), n)
-                order = np.lexsort((code, doc))
-                code, doc = code[order].view(np.int64), doc[order]
-                new = np.ones(len(code), dtype=bool)
-                new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-                code, doc = code[new], doc[new]
+                code, doc = _distinct(*shingle_hashes(*_hashed(batch.column("norm").to_pylist()), n))
                 ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(code))
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("h"), sets], names=["h", "s"])
 
     return texts.select("h", "norm").mapInArrow(run, "h long, s array<long>")
 
 
 def similar_texts(
-    index: DataFrame, texts: DataFrame, similarity: float = 0.5, n: int = 3, most_flips: int = 44, broadcast_ids: int = 500_000
+    index: DataFrame, texts: DataFrame, similarity: float = 0.5, n: int = 3, broadcast_ids: int = 500_000
 ) -> DataFrame:
     """Pairs (h_a < h_b, jaccard) of different texts whose shingle sets have at least the given similarity.
 
     index: index_texts() of the same texts (row_id, text). Copies share h and count once; two texts with
-    equal 64-bit h would count as copies. Candidates agree in an anchor and a nearby codeword index of one
-    segment and differ in at most most_flips of 184 bits; their similarity is then computed exactly.
+    equal 64-bit h would count as copies. Candidates agree in an anchor and either a nearby codeword index of
+    one segment or the anchor one or two rounds on: the index misses pairs of long texts, as their differing
+    words fill every segment, while anchors agree by similarity alone. Left out before the exact similarity are
+    only pairs that can't reach it: of the sum of both numbers of shingles at most (1 - s) / (1 + s) are in one
+    text alone, and each of these flips one bit of the sketch at most.
     The ids of candidates are broadcast if there are at most broadcast_ids, else joined by a shuffle.
     An empty index gives no pairs.
     """
     spark = index.sparkSession
     # Keys are partitioned by their anchor alone; with this, that serves the join on anchor and index.
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    sigs = index.select("row_id", "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS))).dropDuplicates(["h"])
-    prints = [f"f{i}" for i in range(SEGMENTS // 2)]
+    sketch = [f"k{i}" for i in range(SKETCH)]
+    sigs = index.select(
+        "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS)), *sketch, F.col("n_shingles").cast("int").alias("size")
+    ).dropDuplicates(["h"])
+    carried = [*sketch, "size"]
     mask = (1 << golay.LENGTH) - 1
     segments = [
         F.struct(
             F.col(f"a{t}").alias("anchor"),
-            F.shiftright(F.col(f"f{t % SEGMENTS // 2}"), golay.LENGTH * (t % 2)).bitwiseAND(F.lit(mask)).cast("int").alias("word"),
+            # In one number: 16 bits of each of the anchors one and two rounds on, and the segment's word.
+            reduce(
+                lambda x, k: F.shiftleft(x, 16).bitwiseOR(F.shiftrightunsigned(F.col(f"a{(t + k) % ANCHORS}"), 48)), STEPS[1:],
+                F.shiftrightunsigned(F.col(f"a{(t + STEPS[0]) % ANCHORS}"), 48),
+            ).alias("next"),
+            F.shiftright(F.col(f"f{t % SEGMENTS // 2}"), golay.LENGTH * (t % 2)).bitwiseAND(F.lit(mask)).alias("word"),
         )
         for t in range(ANCHORS)
     ]
     rows = (
-        sigs.select("h", *prints, F.explode(F.array(*segments)).alias("s"))
-        .select("h", *prints, "s.anchor", "s.word")
+        sigs.select("h", *carried, F.explode(F.array(*segments)).alias("s"))
+        .select("h", *carried, "s.anchor", F.shiftleft("s.next", golay.LENGTH).bitwiseOR(F.col("s.word")).alias("packed"))
         .repartition("anchor")
     )
+    # Anchors of one text only have no partner; they go before the keys are multiplied.
+    met = rows.withColumn("_n", F.count("*").over(W.partitionBy("anchor"))).filter("_n > 1").drop("_n")
+    met = met.withColumn("word", F.col("packed").bitwiseAND(F.lit(mask)).cast("int"))
+    # Keys 0 to 5 are codeword indices; the others, 16 bits of the anchors one and two rounds on, are negative.
+    idx = golay.near_index(F.col("word"), F.col("which"))
+    for i in range(len(STEPS)):
+        idx = F.when(F.col("which") == 6 + i, F.lit(-1 - 65536 * i) - F.shiftright("packed", golay.LENGTH + 16 * i).bitwiseAND(F.lit(65535)).cast("int")).otherwise(idx)
     keys = (
-        rows.withColumn("which", F.explode(F.array(*[F.lit(i) for i in range(6)])))
-        .withColumn("idx", golay.near_index(F.col("word"), F.col("which")))
+        met.withColumn("which", F.explode(F.array(*[F.lit(i) for i in range(6 + len(STEPS))])))
+        .withColumn("idx", idx)
         .filter("idx is not null")
-        .select("anchor", "idx", "h", *prints)
+        .select("anchor", "idx", "h", *carried)
     )
     a, b = keys.alias("a"), keys.alias("b")
-    flips = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in prints])
+    flips = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in sketch])
+    apart = (1 - similarity) / (1 + similarity) * (F.col("a.size") + F.col("b.size"))
+    reachable = (flips <= apart + 0.01) & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 0.01)
     pairs = cut(
         a.join(
             b,
             (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.idx") == F.col("b.idx"))
-            & (F.col("a.h") < F.col("b.h")) & (flips <= most_flips),
+            & (F.col("a.h") < F.col("b.h")) & reachable,
         )
         .select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"))
         .distinct(),

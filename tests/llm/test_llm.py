@@ -154,6 +154,24 @@ def test_similar_texts_against_all_pairs(spark):
     assert len(found) >= 0.9 * len(wanted) > 100
 
 
+@pytest.mark.parametrize("n_words, added", [(105, 50), (120, 60), (150, 75), (300, 70), (900, 800)])
+def test_similar_long_texts(spark, n_words, added):
+    """Pairs that differ in many words are found at every length: their flips grow with it, their similarity doesn't."""
+    texts = []
+    for i in range(200):
+        base = [f"t{i}w{k}" for k in range(n_words + added)]
+        texts += [" ".join(base[:n_words]), " ".join(base)]
+    pairs = _similar(_stems(spark, texts)).collect()
+    assert all(r.jaccard >= 0.5 for r in pairs)
+    assert 190 <= len(pairs) <= 200
+
+
+def test_flips_of_repeated_words(spark):
+    """A text given twice in a row has nearly the same shingles, while every one of its words changes its bit."""
+    base = " ".join(f"w{k}" for k in range(300))
+    assert _similar(_stems(spark, [base, f"{base} {base}"])).count() == 1
+
+
 def test_similar_texts_empty(spark):
     assert _similar(_stems(spark, [None, "", "two words"])).count() == 0
 
