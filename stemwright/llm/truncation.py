@@ -2,8 +2,8 @@
 
 Lengths: the discrete hazard of each length (texts that end there among those that reach it) is tested
 against the hazards around it, with false-discovery control. Endings: a logistic model, fitted on a
-bounded sample of sentences and their own prefixes, says whether the last sentence is finished. An
-ending that looks unfinished is a case; at a significant length or after a cut mark less doubt suffices.
+bounded sample of sentences and their own prefixes, says whether the last sentence is finished; a last
+word that no finished text of all holds is taken as cut inside. An ending that looks unfinished is a case; at a significant length or after a cut mark less doubt suffices.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stemwright.llm.samples import bounded_sample
+from stemwright.session import cut
 
 _MARK = re.compile(r"(?:\s*(?:…|\.{3,}|�+|\[\s*(?:…|\.{3})\s*\]))+\s*$")
 _ASIDE = re.compile(r"\s*\([^()]*\)\s*$")
@@ -83,19 +85,16 @@ def _slots(words: list[str]) -> list[int]:
     return [zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]
 
 
-def fit_endings(texts: list[str], seed: int = 5, epochs: int = 4) -> tuple[np.ndarray, frozenset[str]]:
-    """(weights, known words) from finished texts: whole sentences against prefixes of sentences."""
+def fit_endings(texts: list[str], seed: int = 5, epochs: int = 4) -> np.ndarray:
+    """Weights from finished texts: whole sentences against prefixes of sentences."""
     rng = np.random.default_rng(seed)
     rows: list[list[int]] = []
     labels: list[int] = []
-    known: dict[str, int] = {}
     for text in texts:
         for sentence in sentences(text):
             words = [w for w in map(_word, sentence.rstrip(".?!: ").split()) if w]
             if not words:
                 continue
-            for w in words:
-                known[w] = known.get(w, 0) + 1
             rows.append(_slots(words))
             labels.append(1)
             if len(words) > 1:
@@ -104,7 +103,7 @@ def fit_endings(texts: list[str], seed: int = 5, epochs: int = 4) -> tuple[np.nd
                     labels.append(0)
     weights = np.zeros((1 << BITS) + 1)
     if not rows:
-        return weights, frozenset()
+        return weights
     sums = np.full(len(weights), 1e-8)
     order = np.arange(len(rows))
     packed = [np.array(r) for r in rows]
@@ -120,11 +119,35 @@ def fit_endings(texts: list[str], seed: int = 5, epochs: int = 4) -> tuple[np.nd
             sums[-1] += error * error
             weights[at] += 0.3 * error / np.sqrt(sums[at])
             weights[-1] += 0.3 * error / np.sqrt(sums[-1])
-    return weights, frozenset(known)
+    return weights
 
 
-def finished_odds(text: str, weights: np.ndarray, known: frozenset[str]) -> tuple[float, bool]:
-    """(log odds that the last sentence is finished, whether a cut mark was there)."""
+def text_words(texts: Iterator[str]) -> set[str]:
+    """The words of finished texts; closing marks and quotes are no part of a word."""
+    tokens: set[str] = set()
+    for text in texts:
+        tokens.update(text.split())
+    return {w for t in tokens if (w := _word(t.rstrip("\"'”’»)]").rstrip(".?!:")))}
+
+
+def corpus_words(texts: DataFrame, most: int = 200_000) -> DataFrame:
+    """(word): the different words of all finished texts (text); a task holds about `most` of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+        for batch in batches:
+            held |= text_words(batch.column("text").to_pylist())
+            if len(held) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.string())], names=["word"])
+                held = set()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.string())], names=["word"])
+
+    return texts.select("text").mapInArrow(run, "word string").distinct()
+
+
+def finished_odds(text: str, weights: np.ndarray) -> tuple[float, bool, str | None]:
+    """(log odds that the last sentence is finished, whether a cut mark was there, the last word if the model judged it)."""
     bare = text.rstrip()
     unmarked = _MARK.sub("", bare)
     marked = unmarked != bare
@@ -132,38 +155,34 @@ def finished_odds(text: str, weights: np.ndarray, known: frozenset[str]) -> tupl
     if not marked and core.endswith(")"):
         core = _ASIDE.sub("", core)
     if not core:
-        return 20.0, marked
+        return 20.0, marked, None
     numeric = re.search(r"(?:^|\s)[\d.,/]+\.$", core) is not None
     if core[-1] in ".?!" and not numeric or core[-1] == ":" and not marked:
-        return 20.0, marked
+        return 20.0, marked, None
     if core[-1] in ",;(/-–=" or unmarked != unmarked.rstrip() and marked and core[-1] == ",":
-        return -20.0, marked
+        return -20.0, marked, None
     last = sentences(core)
     words = [w for w in map(_word, last[-1].rstrip(".").split()) if w] if last else []
     if not words:
-        return -20.0, marked
-    score = float(weights[_slots(words)].sum() + weights[-1])
-    if words[-1] not in known and known:
-        score = min(score, -5.0)  # no word of the corpus: the cut is inside it
-    return score, marked
+        return -20.0, marked, None
+    return float(weights[_slots(words)].sum() + weights[-1]), marked, words[-1]
 
 
-def judged(texts: DataFrame, weights: np.ndarray, known: frozenset[str]) -> DataFrame:
-    """texts (row_id, field_name, text, significant) with log_odds and marked."""
-    model = texts.sparkSession.sparkContext.broadcast((weights, known))
+def judged(texts: DataFrame, weights: np.ndarray) -> DataFrame:
+    """texts (row_id, field_name, text, significant) with log_odds, marked and last_word."""
+    model = texts.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, k = model.value
         for batch in batches:
-            scored = [finished_odds(t, w, k) for t in batch["text"]]
+            scored = [finished_odds(t, model.value) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "row_id": batch["row_id"], "field_name": batch["field_name"], "significant": batch["significant"],
-                    "log_odds": [s for s, _ in scored], "marked": [m for _, m in scored],
+                    "log_odds": [s for s, _, _ in scored], "marked": [m for _, m, _ in scored], "last_word": [x for _, _, x in scored],
                 }
             )
 
-    return texts.mapInPandas(run, "row_id long, field_name string, significant boolean, log_odds double, marked boolean")
+    return texts.mapInPandas(run, "row_id long, field_name string, significant boolean, log_odds double, marked boolean, last_word string")
 
 
 def truncated(
@@ -171,16 +190,13 @@ def truncated(
 ) -> DataFrame:
     """(row_id, field_name) of cut texts among rows (row_id, field_name, text, groups..., n_chars).
 
-    The ending model is fitted on the finished texts among about sample_rows texts, picked by the hash of
-    row_id; every text is judged whole. NULL and blank texts are never cases; a text of one word is judged like any other.
+    The weights of the ending model are fitted on the finished texts among about sample_rows texts, picked by
+    the hash of row_id; the words known are those of all finished texts, and every text is judged whole. NULL and blank texts are never cases; a text of one word is judged like any other.
     """
     texts = texts.select("row_id", "field_name", "text", "n_chars", *[g for g in groups if g != "field_name"])
-    sample = (
-        bounded_sample(texts, "row_id", sample_rows)
-        .filter(F.col("text").isNotNull() & ~may_be_cut(F.col("text")) & F.col("text").rlike(r"\S"))
-        .select("text")
-    )
-    weights, known = fit_endings(sorted({r[0] for r in sample.toLocalIterator()}))
+    finished = F.col("text").isNotNull() & ~may_be_cut(F.col("text")) & F.col("text").rlike(r"\S")
+    sample = bounded_sample(texts, "row_id", sample_rows).filter(finished).select("text")
+    weights = fit_endings(sorted({r[0] for r in sample.toLocalIterator()}))
     lengths = length_hazards(texts, groups).filter("significant").select(*groups, "n_chars", "significant")
     suspects = texts.filter(may_be_cut(F.col("text")))
     marked = suspects.alias("t").join(
@@ -188,6 +204,15 @@ def truncated(
         [F.col(f"t.{c}").eqNullSafe(F.col(f"l.{c}")) for c in [*groups, "n_chars"]],
         "left",
     ).select("t.row_id", "t.field_name", "t.text", F.coalesce("l.significant", F.lit(False)).alias("significant"))
-    scored = judged(marked, weights, known)
+    known = cut(corpus_words(texts.filter(finished)), "ending-words")
+    scored = cut(judged(marked, weights), "endings")
+    if not known.isEmpty():
+        # A last word that no finished text holds: the cut is inside it.
+        unknown = scored.select("last_word").filter("last_word is not null").distinct().join(known, F.col("last_word") == F.col("word"), "left_anti")
+        scored = scored.join(unknown.withColumn("inside", F.lit(True)), "last_word", "left").withColumn(
+            "log_odds", F.when(F.col("inside"), F.least("log_odds", F.lit(-5.0))).otherwise(F.col("log_odds"))
+        ).select("row_id", "field_name", "significant", "log_odds", "marked")
+    else:
+        scored = scored.drop("last_word")
     bar = F.when(F.col("significant") | F.col("marked"), F.lit(more_doubt)).otherwise(F.lit(doubt))
     return scored.filter(F.col("log_odds") < bar)

@@ -202,6 +202,22 @@ def test_truncated(spark):
     assert truncation.truncated(df.filter("false"), ["provider", "field_name"]).count() == 0
 
 
+def test_rare_last_word_is_known_from_all_texts(spark):
+    """A last word outside the sample of the model, but in a finished text of the corpus, doesn't make a case."""
+    rows = [(i, "t", f"The patient was treated and recovered after a course of drug{'abcdefghij'[i % 10]}{'xyz' [i % 3]}.", "p") for i in range(4000)]
+    rare = [(5000 + i, "t", f"The patient was treated and recovered after a course of rare{chr(97 + i % 26)}{chr(97 + i // 26)}.", "p") for i in range(300)]
+    bare = [(6000 + i, "t", t[:-1], "p") for i, (_, _, t, _) in enumerate(rare)]
+    inside = [(7000, "t", "The patient was treated and recovered after a course of drugax and zzunheardof", "p")]
+    df = spark.createDataFrame(rows + rare + bare + inside, "row_id long, field_name string, text string, provider string").withColumn("n_chars", F.length("text"))
+    odds = {r.row_id: r.log_odds for r in truncation.truncated(df, ["provider", "field_name"], sample_rows=300, doubt=1e9, more_doubt=1e9).collect()}
+    assert not [i for i in range(6000, 6300) if odds[i] <= -5] and odds[7000] <= -5
+
+
+def test_words_of_finished_texts():
+    texts = ['He said: "fever, cough (mild)." It rose 12.5/3 fold.', 'Give insulin."', "Is it so? Yes! 7 days:"]
+    assert {"fever", "cough", "mild", "it", "rose", "0", "fold", "insulin", "so", "yes", "days"} <= truncation.text_words(texts)
+
+
 def test_length_hazards(spark):
     rng = random.Random(1)
     rows = [("p", "t", rng.randint(80, 400)) for _ in range(3000)] + [("p", "t", 256)] * 80
