@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from stemwright.operators import detector, exact, fit
@@ -46,8 +47,69 @@ def _woolf(df):
         "model_label", F.log(F.col("a") * F.col("d") / (F.col("b") * F.col("c"))).alias("y"), (1 / F.col("a") + 1 / F.col("b") + 1 / F.col("c") + 1 / F.col("d")).alias("v"))
 
 
+_ADJUSTED = "model_label string, status string, coef double, se double, odds_ratio double, lo double, hi double"
+
+
+def _adjusted_odds(df) -> list[tuple]:
+    """Of each model, the guided prompt's effect adjusted for specialty, clusters = topics; a model without an estimate says why.
+
+    Each model is fitted in a task of its own on its counts by specialty, topic and prompt, in one job; the estimator is logit_fit()'s.
+    """
+    used = df.select("model_label", "specialty", "topic", "guided", "any_flaw").dropna()
+    first = used.agg(F.min("specialty")).first()[0]
+
+    def one(key, t):
+        n, k, g = (t[c].to_numpy(dtype=float) for c in ("n", "k", "guided"))
+
+        def row(status, *values):
+            return pd.DataFrame([(key[0], status, *(values or [None] * 5))], columns=[f.split()[0] for f in _ADJUSTED.split(", ")])
+
+        if len(np.unique(g)) < 2:
+            return row("one prompt only")
+        if any(not 0 < k[g == v].sum() < n[g == v].sum() for v in (0, 1)):
+            return row("a prompt with no flaw or flaws only")
+        levels = [v for v in sorted(t["specialty"].unique()) if v != first]
+        x = np.column_stack([np.ones(len(t)), g, *[(t["specialty"] == v).to_numpy(dtype=float) for v in levels]])
+        p, beta = x.shape[1], np.zeros(x.shape[1])
+        for _ in range(100):
+            mu = 1 / (1 + np.exp(-x @ beta))
+            step = np.linalg.solve(x.T @ (x * (n * mu * (1 - mu))[:, None]) + 1e-8 * np.eye(p), x.T @ (k - n * mu))
+            beta = beta + step
+            if np.abs(step).max() < 1e-9:
+                break
+        mu = 1 / (1 + np.exp(-x @ beta))
+        bread = np.linalg.inv(x.T @ (x * (n * mu * (1 - mu))[:, None]) + 1e-8 * np.eye(p))
+        u = pd.DataFrame(x * (k - n * mu)[:, None]).groupby(t["topic"].to_numpy()).sum().to_numpy()
+        c, total = len(u), n.sum()
+        v = (c / (c - 1) * (total - 1) / (total - p) * (bread @ u.T @ u @ bread))[1, 1] if c > 1 and total > p else math.nan
+        if not (math.isfinite(beta[1]) and v > 0):
+            return row("no standard error")
+        e = math.sqrt(v)
+        return row("estimated", beta[1], e, *(math.exp(beta[1] + z * e) for z in (0, -1.96, 1.96)))
+
+    counts = used.groupBy("model_label", "specialty", "topic", "guided").agg(F.count("*").alias("n"), F.sum("any_flaw").alias("k"))
+    return [tuple(r) for r in counts.groupBy("model_label").applyInPandas(one, _ADJUSTED).orderBy("model_label").collect()]  # one row for each model
+
+
+def model_odds(spark, sf_dir):
+    """Q7: each model's odds ratio of the guided prompt, specialty-adjusted with topic clusters; those that can't be estimated have a status."""
+    return spark.createDataFrame(_adjusted_odds(main_flags(spark, sf_dir)), _ADJUSTED)
+
+
+def pooled_adjusted_odds(spark, sf_dir):
+    """Q7: random-effects pooling of model_odds, with the models left out for want of an estimate and the prediction interval."""
+    rows = _adjusted_odds(main_flags(spark, sf_dir))
+    used = [r for r in rows if r[1] == "estimated"]
+    keys = ("mean", "se", "tau2", "i2", "q", "prediction_lo", "prediction_hi")
+    out = exact.pooled_random_effects([r[2] for r in used], [r[3] for r in used]) if used else {k: None for k in keys}
+    return spark.createDataFrame(
+        [(len(used), [r[0] for r in rows if r[1] != "estimated"], *[out[k] for k in keys])],
+        "n_models int, not_estimated array<string>, " + ", ".join(f"{k} double" for k in keys),
+    )
+
+
 def pooled_odds(spark, sf_dir):
-    """Q7: random-effects pooling of the models' log odds ratios (one row for each model reaches the driver)."""
+    """Random-effects pooling of the models' crude (Woolf) log odds ratios, models with an empty cell left out; Q7 itself is pooled_adjusted_odds."""
     rows = _woolf(main_flags(spark, sf_dir)).collect()
     out = exact.pooled_random_effects([r.y for r in rows], [math.sqrt(r.v) for r in rows])
     return spark.createDataFrame([(len(rows), *[round(out[k], 6) for k in ("mean", "se", "tau2", "i2", "q")])], "n_models int, mean double, se double, tau2 double, i2 double, q double")
@@ -162,7 +224,7 @@ def self_checks(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    logit_guided, logit_guided_errors, logit_adjusted, pooled_odds, model_contrasts, tier_permutation, tier_welch, tier_intervals, topic_bootstrap,
+    logit_guided, logit_guided_errors, logit_adjusted, model_odds, pooled_adjusted_odds, pooled_odds, model_contrasts, tier_permutation, tier_welch, tier_intervals, topic_bootstrap,
     psychometrics_ols, psychometrics_difference, source_comparison, source_logit, dose_response, self_checks)}
 
 _ABCD = """count(*) FILTER (WHERE guided = 1 AND any_flaw = 1)::DOUBLE AS a, count(*) FILTER (WHERE guided = 1 AND any_flaw = 0)::DOUBLE AS b,

@@ -215,3 +215,31 @@ def test_stream(spark, sf_dir, tmp_path):
     query.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("job_id").distinct().count() == items(spark, sf_dir).count()
+
+
+def test_pooled_odds_are_adjusted(spark):
+    """Estimates per model equal a direct fit with specialty dummies and topic clusters; a model with an empty cell is reported."""
+    from stemwright.plans import model_queries
+
+    rng = np.random.default_rng(8)
+    n = 800
+    s, t, m = rng.integers(0, 2, n), rng.integers(0, 20, n), rng.integers(0, 2, n)
+    g = (rng.random(n) < 0.2 + 0.6 * s).astype(int)
+    y = (rng.random(n) < 1 / (1 + np.exp(1 - 2 * s + 0.5 * g))).astype(int)
+    rows = [("AB"[a], "xy"[b], f"{b}:{c}", int(d), int(e)) for a, b, c, d, e in zip(m, s, t, g, y)]
+    rows += [("C", "xy"[i % 2], f"0:{i}", i % 2, 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "model_label string, specialty string, topic string, guided int, any_flaw int")
+    found = {r[0]: r[1:] for r in model_queries._adjusted_odds(df)}
+    assert found["C"] == ("a prompt with no flaw or flaws only", None, None, None, None, None)
+    for i, label in enumerate("AB"):
+        at = m == i
+        X, c = np.column_stack([np.ones(at.sum()), g[at], s[at]]).astype(float), (s * 20 + t)[at]
+        b = np.zeros(3)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-X @ b))
+            b = b + np.linalg.solve(X.T @ (X * (mu * (1 - mu))[:, None]), X.T @ (y[at] - mu))
+        bread = np.linalg.inv(X.T @ (X * (mu * (1 - mu))[:, None]))
+        u = np.stack([(X * (y[at] - mu)[:, None])[c == k].sum(axis=0) for k in np.unique(c)])
+        k, r = len(u), len(X)
+        cov = k / (k - 1) * (r - 1) / (r - 3) * bread @ u.T @ u @ bread
+        assert found[label][1] == pytest.approx(b[1], abs=1e-5) and found[label][2] == pytest.approx(math.sqrt(cov[1, 1]), rel=1e-5)
