@@ -161,19 +161,31 @@ def topic_bootstrap(spark, sf_dir):
 
 def _psychometrics(spark, sf_dir):
     measured = table(spark, sf_dir, "reference_items").select("itemnum", "difficulty", F.log(F.greatest("response_time", F.lit(1.0))).alias("log_time"))
-    return reference_flags(spark, sf_dir).join(measured, "itemnum").withColumn("cueing", detector.any_flaw(CUEING))
+    return reference_flags(spark, sf_dir).join(measured, "itemnum").withColumns(
+        {
+            "cueing": detector.any_flaw(CUEING), "n_cueing": sum((F.col(c) for c in CUEING), F.lit(0)),
+            "log_stem_words": F.log(F.greatest(F.col("stem_words").cast("double"), F.lit(1.0))),
+        }
+    )
 
 
 def psychometrics_ols(spark, sf_dir):
-    """Q23: difficulty and log response time of reference items on each flag with enough cases, HC1 errors, q by outcome."""
-    df = _psychometrics(spark, sf_dir)
-    counts = df.agg(*[F.sum(r).alias(r) for r in [*RULES, "cueing"]], F.count("*").alias("n")).first()
+    """Q23: difficulty and log response time of reference items on the number of cueing flaws and on each flag with enough cases,
+    adjusted for log stem words, item type and exam; HC1 errors, q by outcome."""
+    return _psychometrics_ols(spark, _psychometrics(spark, sf_dir))
+
+
+def _psychometrics_ols(spark, df):
+    counts = df.agg(
+        *[F.sum(r).alias(r) for r in [*RULES, "cueing"]], F.count("*").alias("n"), F.count_distinct("n_cueing").alias("n_cueing"),
+        F.min("itemtype").alias("itemtype"), F.min("exam").alias("exam"),
+    ).first()
     out = []
     for outcome in ("difficulty", "log_time"):
-        for flag in [*RULES, "cueing"]:
+        for flag in ["n_cueing", *RULES, "cueing"]:
             k = counts[flag] or 0
-            if 5 <= k <= counts["n"] - 5:
-                rows, _ = fit.ols_robust(df, outcome, [flag], {})
+            if counts["n_cueing"] > 1 if flag == "n_cueing" else 5 <= k <= counts["n"] - 5:
+                rows, _ = fit.ols_robust(df, outcome, [flag, "log_stem_words"], {c: counts[c] for c in ("itemtype", "exam")})
                 out += [{"outcome": outcome, **r} for r in rows if r["term"] == flag]
     from stemwright.functions.stats import bh_adjusted
 

@@ -243,3 +243,23 @@ def test_pooled_odds_are_adjusted(spark):
         k, r = len(u), len(X)
         cov = k / (k - 1) * (r - 1) / (r - 3) * bread @ u.T @ u @ bread
         assert found[label][1] == pytest.approx(b[1], abs=1e-5) and found[label][2] == pytest.approx(math.sqrt(cov[1, 1]), rel=1e-5)
+
+
+def test_psychometrics_are_adjusted(spark):
+    """The flag's coefficient is that of the whole design, and the number of cueing flaws is a regressor."""
+    from stemwright.operators.detector import CUEING, RULES
+    from stemwright.plans import model_queries
+
+    rng = np.random.default_rng(4)
+    n, flag = 200, CUEING[0]
+    f, kind, exam, words = (rng.random(n) < 0.4).astype(int), rng.integers(0, 2, n), rng.integers(0, 3, n), rng.integers(20, 200, n)
+    f = np.where(kind == 1, 1 - (rng.random(n) < 0.2), f).astype(int)
+    y = 0.5 * f + 2.0 * kind + 0.3 * exam + np.log(words) + rng.normal(size=n)
+    names = [*RULES, "cueing"]
+    rows = [(*[int(a) if r in (flag, "cueing") else 0 for r in names], int(a), float(np.log(w)), "ab"[k], "xyz"[e], float(v), float(v)) for a, k, e, w, v in zip(f, kind, exam, words, y)]
+    df = spark.createDataFrame(rows, ", ".join(f"{r} int" for r in names) + ", n_cueing int, log_stem_words double, itemtype string, exam string, difficulty double, log_time double")
+    found = {(r.outcome, r.term): r.coef for r in model_queries._psychometrics_ols(spark, df).collect()}
+    X = np.column_stack([np.ones(n), f, np.log(words), kind == 1, exam == 1, exam == 2]).astype(float)
+    wanted = np.linalg.lstsq(X, y, rcond=None)[0][1]
+    for term in (flag, "n_cueing"):
+        assert found["difficulty", term] == pytest.approx(wanted, abs=1e-6)
