@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemwright.llm.near_duplicates import _hashed, _mix, shingle_hashes
+from stemwright.llm.near_duplicates import _mix, shingle_hashes, word_hashes
 from stemwright.session import cut
 
 
 def passage_minhashes(texts: list[str], words_in_passage: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(minhash, text index), distinct, of all passages; texts with fewer words have none."""
-    words, lengths = _hashed(texts)
+    words, lengths = word_hashes(texts)
     code, doc = shingle_hashes(words, lengths, n)
     code = _mix(code ^ np.uint64(0xA5A5A5A55A5A5A5A))
     width = words_in_passage - n + 1

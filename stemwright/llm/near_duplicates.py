@@ -3,9 +3,11 @@
 A text's fingerprint is eight segments of 23 bits; each word flips one bit of one segment, so an edited
 word costs at most two bits and reordering costs none. With d differing words some segment has at most
 d/8 errors (pigeonhole); a segment with at most two errors shares a nearby codeword index. As texts here
-are written from templates, a 12-bit index alone selects badly, so each segment's keys carry an anchor:
-the smallest hash of the text's rare shingles, another hash function for each round. Two anchors together are
-keys too, so that pairs of long texts, whose differing words fill every segment, still meet.
+are written from templates, a 12-bit index alone selects badly, so each segment's indices carry an anchor:
+a shingle drawn by a hash whose chance falls with the shingle's frequency over all texts, which bounds the
+share of texts at any anchor without leaving a shingle out. Long texts differ in every segment, so pairs of
+two anchors far apart in the text are keys too. Both are met by one shuffle; a task reads its keys in order
+and builds pairs in blocks.
 """
 
 from __future__ import annotations
@@ -18,21 +20,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from stemwright.llm import golay
-from stemwright.llm.samples import bounded_sample
 from stemwright.session import cut
 
 SEGMENTS = 8
-ANCHORS = 12  # rounds of keys: round t takes segment t mod 8 and an anchor hash of its own
-COMMON_SHARE = 0.002  # shingles in more than this share of texts are no anchors
-STEPS = (1, 2)  # the anchor of round t also meets those of rounds t + 1 and t + 2
+PAIR_ROUNDS = (6, 16)  # keys of two anchors: for texts below and from LONG shingles
+LONG = 128
+SHARE = 0.002  # shingles in a larger share of texts are drawn less often, by the square of the excess
+GAP = 8  # words between the two anchors of a key
+COUNTERS = 1 << 17  # of the frequency sketch
+HOT = 20_000  # anchors in more texts than this are spread over their codewords before the shuffle
 SKETCH = 4  # 64-bit words of a text's sketch
-_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64 for t in range(ANCHORS)], dtype=np.uint64)
+BITMAP = 1 << 27  # most bits of the filter that picks candidates' texts
+INDEX, PAIR = 0, 1  # kinds of keys: anchor and segment, complete key
+_SEEDS = [np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) % 2**64) for t in range(max(PAIR_ROUNDS))]
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)
-_CACHE_WORDS = 500_000
-_words: dict[str, int] = {}
+_ALNUM = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
 
 
 def normalised(text: Column) -> Column:
@@ -46,19 +50,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and how many each text has."""
-    import xxhash
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and how many each text has; the words are those of normalised()."""
+    raw = [t.lower().encode("utf-8", "ignore") + b" " if t else b" " for t in texts]
+    chars = np.frombuffer(b"".join(raw).translate(_ALNUM), dtype=np.uint8)
+    within = chars != 32
+    edge = np.flatnonzero(within[1:] != within[:-1]) + 1
+    if len(within) and within[0]:
+        edge = np.concatenate([[0], edge])
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    ends = np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))
+    counts = np.diff(np.searchsorted(begin, ends), prepend=0)
+    if not len(begin):
+        return np.zeros(0, dtype=np.uint64), counts
+    first = np.cumsum(size) - size
+    power = np.full(int(size.max()), _M3, dtype=np.uint64)
+    power = np.cumprod(power)
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    value = np.add.reduceat(chars[within] * power[place], first)
+    return _mix(value ^ _mix(size.astype(np.uint64))), counts
+
+
+def text_hashes(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's words in their order."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(words * _M2) * _odd_powers(lengths), dtype=np.uint64)])
+    ends = np.cumsum(lengths)
+    return _mix((sums[ends] - sums[ends - lengths]) ^ _mix(lengths.astype(np.uint64))).view(np.int64)
+
+
+def _odd_powers(lengths: np.ndarray) -> np.ndarray:
+    """For each word its place in its text as a power of an odd number."""
+    most = int(lengths.max()) if len(lengths) else 0
+    power = np.cumprod(np.full(most, _M1, dtype=np.uint64))
+    return power[np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
 
-    global _words
-    if len(_words) > _CACHE_WORDS:
-        _words = {}
-    split = [t.split(" ") for t in texts]
-    known = _words
-    for word in {w for ws in split for w in ws if w not in known}:
-        known[word] = xxhash.xxh64_intdigest(word)
-    flat = np.fromiter((known[w] for ws in split for w in ws), dtype=np.uint64)
-    return flat, np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+
+def only_texts(words: np.ndarray, lengths: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and lengths of the texts kept (a mask)."""
+    return words[np.repeat(keep, lengths)], lengths[keep]
 
 
 def shingle_hashes(words: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,179 +102,351 @@ def shingle_hashes(words: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.n
     return code[keep], doc[keep]
 
 
-def common_shingles(texts: list[str], n: int, share: float, least: int = 8) -> np.ndarray:
-    """Sorted hashes of the shingles in more than a share of the texts (at most 1/share times their mean number)."""
-    texts = sorted({t for t in texts if t})
-    if not texts:
-        return np.zeros(0, dtype=np.uint64)
-    code, doc = shingle_hashes(*_hashed(texts), n)
-    pairs = np.unique(np.stack([code, doc.astype(np.uint64)]), axis=1)
-    values, counts = np.unique(pairs[0], return_counts=True)
-    return values[counts > max(share * len(texts), least)]
+def _distinct(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text by 44 bits of their hash, sorted by text and hash; less than 2^20 texts."""
+    both = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (code >> np.uint64(20)))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    return both & np.uint64((1 << 44) - 1), (both >> np.uint64(44)).astype(np.int64)
+
 
+def _slots(code: np.ndarray, counters: int) -> np.ndarray:
+    return (_mix(code * np.uint64(3)) % np.uint64(counters)).astype(np.int64)
 
-def _distinct(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different shingles of each text, sorted by text and hash."""
-    order = np.lexsort((code, doc))
-    code, doc = code[order], doc[order]
-    new = np.ones(len(code), dtype=bool)
-    new[1:] = (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])
-    return code[new], doc[new]
-
-
-def signatures(texts: list[str], common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint words (texts x 4, two segments in each), anchors (texts x ANCHORS), sketches of the shingle sets
-    (texts x SKETCH; each shingle flips one bit) and numbers of shingles. Every text needs n words."""
-    words, lengths = _hashed(texts)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+class FirstSeen:
+    """Which texts a task meets for the first time, among the last `most` of them at least."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.seen = most, set()
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        new = np.zeros(len(hashes), dtype=bool)
+        for i, h in enumerate(hashes.tolist()):
+            if h not in self.seen:
+                self.seen.add(h)
+                new[i] = True
+        return new
+
+
+def fingerprints(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The segments (texts x SEGMENTS) of texts that have words."""
+    starts = np.cumsum(lengths) - lengths
     segment = (words % np.uint64(SEGMENTS)).astype(np.int64)
     bit = ((words >> np.uint64(3)) % np.uint64(golay.LENGTH)).astype(np.int64) + (segment % 2) * golay.LENGTH
-    flips = np.int64(1) << bit
-    prints = np.stack(
-        [np.bitwise_xor.reduceat(np.where(segment // 2 == i, flips, 0), starts) for i in range(SEGMENTS // 2)], axis=1
-    )
-    code, doc = _distinct(*shingle_hashes(words, lengths, n))
-    sizes = np.bincount(doc, minlength=len(texts))
+    flips, out = np.int64(1) << bit, []
+    for i in range(SEGMENTS // 2):  # two segments in one number
+        both = np.bitwise_xor.reduceat(np.where(segment // 2 == i, flips, 0), starts)
+        out += [both & ((1 << golay.LENGTH) - 1), both >> golay.LENGTH]
+    return np.stack(out, axis=1)
+
+
+def sketches(code: np.ndarray, doc: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x SKETCH words, one bit flipped by each different shingle; numbers of different shingles)."""
+    code, doc = _distinct(code, doc)
+    sizes = np.bincount(doc, minlength=count)
     place = _mix(code) % np.uint64(64 * SKETCH)
     flips = np.uint64(1) << (place % np.uint64(64))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sketches = np.stack(
-        [np.bitwise_xor.reduceat(np.where(place // np.uint64(64) == i, flips, np.uint64(0)), starts) for i in range(SKETCH)], axis=1
-    )
-    if len(common):
-        at = np.searchsorted(common, code)
-        at[at == len(common)] = 0
-        rare = common[at] != code
-        has_rare = np.zeros(len(texts), dtype=bool)
-        has_rare[doc[rare]] = True
-        keep = rare | ~has_rare[doc]
-        code, doc = code[keep], doc[keep]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    anchors = np.stack([np.minimum.reduceat(_mix(code ^ seed), first) for seed in _SEEDS], axis=1)
-    return prints, anchors.view(np.int64), sketches.view(np.int64), sizes
-
-
-def with_words(texts: DataFrame, n: int) -> DataFrame:
-    """texts (row_id, text, ...) of n words or more, with norm and its hash h; NULL texts have no words."""
-    enough = "[a-z0-9]+" + "[^a-z0-9]+[a-z0-9]+" * (n - 1)
-    return texts.filter(F.lower("text").rlike(enough)).withColumn("norm", normalised(F.col("text"))).withColumn("h", F.xxhash64("norm"))
-
-
-def index_texts(
-    texts: DataFrame, carry: list[str] = (), n: int = 3, sample_rows: int = 20_000, common_share: float = COMMON_SHARE
-) -> DataFrame:
-    """The written index: (row_id, h, fingerprint f0..f3, anchors a0..a11, sketch k0..k3, n_shingles, carried columns), one row for each text of n words or more.
-
-    texts: rows (row_id unique, text, carried columns). Which shingles are common is learned on about
-    sample_rows texts picked by the hash of row_id; every text is indexed, in Arrow batches.
+    starts = np.cumsum(sizes) - sizes
+    parts = [np.bitwise_xor.reduceat(np.where(place // np.uint64(64) == i, flips, np.uint64(0)), starts) for i in range(SKETCH)]
+    return np.stack(parts, axis=1), sizes
+
+
+class Anchors:
+    """Draws of one shingle of each text by weighted minimum hashes, alike in texts that share the shingle.
+
+    A shingle's weight falls with its frequency. The least likely shingles, together under about a fiftieth
+    of the draws, are passed over in texts that have enough others.
     """
-    spark = texts.sparkSession
-    texts = texts.select("row_id", "text", *carry)
-    sample = with_words(bounded_sample(texts, "row_id", sample_rows), n).select("norm")
-    shared = spark.sparkContext.broadcast(common_shingles([r[0] for r in sample.toLocalIterator()], n, common_share))
-    names = ["row_id", "h", *carry]
-    numbers = [*(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS)), *(f"k{i}" for i in range(SKETCH)), "n_shingles"]
+
+    def __init__(self, code: np.ndarray, doc: np.ndarray, counts: np.ndarray, share: float = SHARE):
+        place = np.arange(len(code))
+        near = counts[_slots(code, len(counts) - 1)]
+        dull = np.maximum(1.0, near / (share * max(1, counts[-1]))) ** 2
+        likely = dull < 50
+        rich = np.bincount(doc, weights=likely / dull) >= 2
+        keep = likely | ~rich[doc]
+        self.code, self.doc, self.place, self.near, self.dull = code[keep], doc[keep], place[keep], near[keep], dull[keep].astype(np.float32)
+        self._number()
+
+    def _number(self) -> None:
+        self.start = np.flatnonzero(np.concatenate([[True], self.doc[1:] != self.doc[:-1]]))[: len(self.doc)]
+        self.row = np.arange(len(self.code), dtype=np.uint64)
+
+    def leave(self, texts: np.ndarray) -> None:
+        """Leave these texts only (a mask); they are numbered anew."""
+        keep = texts[self.doc]
+        for name in ("code", "place", "near", "dull"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.doc = (np.cumsum(texts) - 1)[self.doc[keep]]
+        self._number()
+
+    def hashes(self, seed: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Two uniform values of each shingle, over its weight."""
+        both = _mix(self.code ^ seed)
+        return (both >> np.uint64(40)).astype(np.float32) * self.dull, ((both >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32) * self.dull
+
+    def draw(self, value: np.ndarray, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the drawn shingles, and whether there was one; apart: rows to keep GAP words away from."""
+        if apart is not None:
+            value[np.abs(self.place - self.place[apart][self.doc]) < GAP] = np.inf
+        least = np.minimum.reduceat((value.view(np.uint32).astype(np.uint64) << np.uint64(32)) | self.row, self.start)
+        row = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return row, np.isfinite(value[row])
+
+
+def text_keys(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Keys of texts of n words or more: (text, kind, key, sketch words, number of shingles).
+
+    A key of kind INDEX is 41 bits of the anchor and the 23-bit segment, still to be decoded; PAIR keys are complete.
+    """
+    code, doc = shingle_hashes(words, lengths, n)
+    prints = fingerprints(words, lengths)
+    sketch, sizes = sketches(code, doc, len(lengths))
+    anchors = Anchors(code, doc, counts)
+    texts = np.arange(len(lengths))
+    who, kind, key = [], [], []
+
+    def add(text: np.ndarray, what: int, value: np.ndarray) -> None:
+        who.append(text)
+        kind.append(np.full(len(text), what, dtype=np.int8))
+        key.append(value)
+
+    for t in range(max(PAIR_ROUNDS)):
+        if t == max(SEGMENTS, min(PAIR_ROUNDS)):
+            anchors.leave(sizes >= LONG)
+            texts = np.flatnonzero(sizes >= LONG)
+        if not len(texts):
+            break
+        one, two = anchors.hashes(_SEEDS[t])
+        place, _ = anchors.draw(one)
+        first = _mix(anchors.code[place] + np.uint64(t))
+        if t < SEGMENTS:
+            hot = anchors.near[place] > HOT
+            packed = (first & ~np.uint64((1 << golay.LENGTH) - 1)) | prints[:, t].astype(np.uint64)
+            add(texts[~hot], INDEX, packed[~hot])
+            if hot.any():
+                full, at = golay_keys(packed[hot])
+                add(texts[hot][at], PAIR, full)
+        second, found = anchors.draw(two, place)
+        found &= (t < min(PAIR_ROUNDS)) | (sizes[texts] >= LONG)
+        add(texts[found], PAIR, _mix(first[found] ^ _mix(anchors.code[second[found]])))
+    return np.concatenate(who), np.concatenate(kind), np.concatenate(key), sketch, sizes
+
+
+def golay_keys(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Complete keys of INDEX keys: anchor and each codeword index near the segment; with the place of each in packed."""
+    word = (packed & np.uint64((1 << golay.LENGTH) - 1)).astype(np.int64)
+    which, index = golay.near_indices(word)
+    return _mix((packed[which] >> np.uint64(golay.LENGTH)) ^ _mix(index.astype(np.uint64))), which
+
+
+def _key_rows(texts: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
+    """(kind, key, h, sketch, size): the keys of every text, once for the copies a task meets; PAIR keys have no sketch."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = FirstSeen()
+        for batch in batches:
+            words, lengths = word_hashes(batch.column("text").to_pylist())
+            hashes = text_hashes(words, lengths)
+            keep = new(hashes) & (lengths >= n)
+            if keep.any():
+                hashes = hashes[keep]
+                who, kind, key, sketch, sizes = text_keys(*only_texts(words, lengths, keep), shared.value, n)
+                bare = kind == PAIR
+                packed = pa.array([s.tobytes() for s in sketch], pa.binary()).take(pa.array(who, mask=bare))
+                arrays = [pa.array(kind), pa.array(key.view(np.int64)), pa.array(hashes[who]), packed, pa.array(sizes[who].astype(np.int32), mask=bare)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["kind", "key", "h", "sketch", "size"])
+
+    return texts.select("text").mapInArrow(run, "kind byte, key long, h long, sketch binary, size int")
+
+
+def _within_reach(flips: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the sum of two numbers of shingles at most (1 - s) / (1 + s) are in one text alone; each flips one bit of the sketch at most."""
+    return (flips <= (1 - similarity) / (1 + similarity) * (a + b) + 0.01) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 0.01)
+
+
+def _equal_pairs(key: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of all pairs of equal values in a sorted array, at most about `most` at a time."""
+    if len(key) < 2:
+        return
+    last = np.searchsorted(key, key, side="right")  # behind the run each place is in
+    rest = last - np.arange(len(key)) - 1  # partners after each place
+    some = np.flatnonzero(rest)
+    start = 0
+    while start < len(some):
+        sums = np.cumsum(rest[some[start:]][:most])
+        stop = start + max(1, int(np.searchsorted(sums, most, side="right")))
+        at = some[start:stop]
+        left = np.repeat(at, rest[at])
+        step = np.arange(len(left)) - np.repeat(np.cumsum(rest[at]) - rest[at], rest[at])
+        yield left, left + 1 + step
+        start = stop
+
+
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """(h_a, h_b, checked) of texts with a common key; rows come grouped by anchor and sorted by (key, h).
+
+    Rows are held for one anchor at a time (hot anchors were spread before); pairs come in blocks.
+    """
+    names = ["h_a", "h_b", "checked"]
+
+    def block(kind: np.ndarray, key: np.ndarray, h: np.ndarray, sketch: pa.Array, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pair = np.flatnonzero(kind == PAIR)
+        index = np.flatnonzero(kind == INDEX)
+        anchor = key[index] >> np.uint64(golay.LENGTH)
+        alone = np.ones(len(index), dtype=bool)
+        if len(index) > 1:
+            same = anchor[1:] == anchor[:-1]
+            alone[1:] &= ~same
+            alone[:-1] &= ~same
+        index = index[~alone]
+        full, at = golay_keys(key[index])
+        bits = np.zeros((len(h), SKETCH), dtype=np.uint64)
+        if len(index):
+            bits[index] = np.frombuffer(b"".join(sketch.take(pa.array(index)).to_pylist()), dtype=np.uint64).reshape(-1, SKETCH)
+        for keys, where, checked in ((key[pair], pair, False), (full, index[at], True)):
+            order = np.argsort(keys, kind="stable")
+            keys, where = keys[order], where[order]
+            for i, j in _equal_pairs(keys):
+                x, y = where[i], where[j]
+                good = h[x] != h[y]
+                if checked:
+                    x, y = x[good], y[good]
+                    flips = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    good = _within_reach(flips, size[x], size[y], similarity)
+                a, b = h[x[good]], h[y[good]]
+                code = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                if code.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(code[0]), pa.array(code[1]), pa.array(np.full(code.shape[1], checked))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def taken(end: int | None) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            whole = pa.Table.from_batches(held).combine_chunks()
+            part, held = whole.slice(0, end), whole.slice(end).to_batches() if end is not None else []
+            columns = {c: part.column(c).combine_chunks() for c in ("kind", "key", "h", "sketch", "size")}
+            number = {c: columns[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("kind", "key", "h", "size")}
+            key, h = number["key"].view(np.uint64), number["h"]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (number["kind"][1:] != number["kind"][:-1])
+            at = np.flatnonzero(new)  # copies that several tasks met
+            yield from block(number["kind"][at], key[at], h[at], columns["sketch"].take(pa.array(at)), number["size"][at].astype(np.int64))
+
         for batch in batches:
             if batch.num_rows:
-                prints, anchors, sketches, sizes = signatures(batch.column("norm").to_pylist(), shared.value, n)
-                arrays = [*(batch.column(c) for c in names), *(pa.array(c) for c in (*prints.T, *anchors.T, *sketches.T, sizes))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *numbers])
+                held.append(batch)
+                anchors = batch.column("key").to_numpy().view(np.uint64) >> np.uint64(golay.LENGTH)
+                begin = int(np.searchsorted(anchors, anchors[-1]))  # keys come in unsigned order
+                before = sum(b.num_rows for b in held) - batch.num_rows
+                first = held[0].column("key")[0].as_py() % 2**64 >> golay.LENGTH
+                if first != int(anchors[-1]) and before + begin >= 20_000:
+                    yield from taken(before + begin)
+        if held:
+            yield from taken(None)
 
-    worded = with_words(texts, n).select(*names, "norm")
-    kept = T.StructType([f for f in worded.schema.fields if f.name in names])
-    schema = T.StructType([*kept.fields, *(T.StructField(c, T.LongType()) for c in numbers)])
-    return cut(worded.mapInArrow(run, schema), "golay-index")
+    return rows.mapInArrow(run, "h_a long, h_b long, checked boolean")
 
 
-def shingle_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(h, s): the distinct shingle hashes of rows (h, norm)."""
+def text_classes(texts: DataFrame, carry: list[str], n: int, counters: int = COUNTERS) -> tuple[DataFrame, np.ndarray]:
+    """The written (row_id, carried columns, h, sketch k0..k3, size) of texts of n words or more, and shingle frequencies.
+
+    Copies share h. The frequencies are a sketch of fixed size over all texts: how often the shingles of each counter
+    occur, the number of texts last; tasks count in arrays and leave out the copies they have met.
+    """
+    names, numbers = ["row_id", *carry], ["h", *(f"k{i}" for i in range(SKETCH)), "size"]
+    schema = T.StructType([*texts.select(*names).schema.fields, *(T.StructField(c, T.LongType()) for c in [*numbers, "slot", "n"])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, new, types = np.zeros(counters + 1, dtype=np.int64), FirstSeen(), None
         for batch in batches:
-            if batch.num_rows:
-                code, doc = _distinct(*shingle_hashes(*_hashed(batch.column("norm").to_pylist()), n))
-                ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            types = [batch.column(c).type for c in names]
+            words, lengths = word_hashes(batch.column("text").to_pylist())
+            keep = lengths >= n
+            if keep.any():
+                words, lengths = only_texts(words, lengths, keep)
+                hashes, (code, doc) = text_hashes(words, lengths), shingle_hashes(words, lengths, n)
+                first = new(hashes)
+                counts[:-1] += np.bincount(_slots(code[first[doc]], counters), minlength=counters)
+                counts[-1] += first.sum()
+                bits, sizes = sketches(code, doc, len(lengths))
+                kept, none = batch.filter(pa.array(keep)), pa.nulls(len(lengths), pa.int64())
+                own = [pa.array(np.ascontiguousarray(x)) for x in (hashes, *bits.T.view(np.int64), sizes)]
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), *own, none, none], names=[*names, *numbers, "slot", "n"])
+        used = np.flatnonzero(counts)
+        if len(used):
+            blank = [*(pa.nulls(len(used), t) for t in types), *(pa.nulls(len(used), pa.int64()) for _ in numbers)]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(used), pa.array(counts[used])], names=[*names, *numbers, "slot", "n"])
+
+    both = cut(texts.select(*names, "text").mapInArrow(run, schema), "golay-classes")
+    total = np.zeros(counters + 1, dtype=np.int64)
+    for slot, k in both.filter("slot is not null").groupBy("slot").agg(F.sum("n")).collect():  # at most counters + 1 rows
+        total[slot] = k
+    return both.filter("h is not null").select(*names, *numbers), total
+
+
+def candidate_pairs(texts: DataFrame, counts: np.ndarray, similarity: float = 0.5, n: int = 3) -> DataFrame:
+    """(h_a < h_b, checked): different texts that share a key; checked ones have sketches within reach of the similarity."""
+    # Unsigned order within an anchor, so that a task can end blocks where the anchor changes.
+    rows = _key_rows(texts, counts, n).withColumn("anchor", F.shiftrightunsigned("key", golay.LENGTH))
+    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "key", "h").select("kind", "key", "h", "sketch", "size")
+    return _met(sorted_rows, similarity).groupBy("h_a", "h_b").agg(F.max("checked").alias("checked"))
+
+
+def _picked_sets(texts: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+    """(h, s): different shingles of the texts whose h is among hashes (h), and of few others.
+
+    The texts are picked by a bitmap of at most BITMAP bits, 16 for each hash up to that; a full one picks all.
+    """
+    count = hashes.count()
+    bits = min(BITMAP, 1 << max(16, (16 * count).bit_length()))
+    places = hashes.select(F.pmod("h", F.lit(bits)).alias("p"))
+    lines = places.groupBy(F.expr("int(p div 64)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(p % 64)))").alias("b"))
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    for w, b in lines.toLocalIterator():  # at most bits / 64 rows
+        bitmap[w] = b
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = FirstSeen()
+        for batch in batches:
+            words, lengths = word_hashes(batch.column("text").to_pylist())
+            h = text_hashes(words, lengths)
+            place = (h % bits).astype(np.uint64)
+            picked = (shared.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+            keep = (picked == 1) & (lengths >= n) & new(h)
+            if keep.any():
+                code, doc = _distinct(*shingle_hashes(*only_texts(words, lengths, keep), n))
+                ends = np.searchsorted(doc, np.arange(keep.sum() + 1)).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("h"), sets], names=["h", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), sets], names=["h", "s"])
 
-    return texts.select("h", "norm").mapInArrow(run, "h long, s array<long>")
+    return texts.select("text").mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"])
 
 
-def similar_texts(
-    index: DataFrame, texts: DataFrame, similarity: float = 0.5, n: int = 3, broadcast_ids: int = 500_000
-) -> DataFrame:
+def similar_texts(classes: DataFrame, counts: np.ndarray, texts: DataFrame, similarity: float = 0.5, n: int = 3) -> DataFrame:
     """Pairs (h_a < h_b, jaccard) of different texts whose shingle sets have at least the given similarity.
 
-    index: index_texts() of the same texts (row_id, text). Copies share h and count once; two texts with
-    equal 64-bit h would count as copies. Candidates agree in an anchor and either a nearby codeword index of
-    one segment or the anchor one or two rounds on: the index misses pairs of long texts, as their differing
-    words fill every segment, while anchors agree by similarity alone. Left out before the exact similarity are
-    only pairs that can't reach it: of the sum of both numbers of shingles at most (1 - s) / (1 + s) are in one
-    text alone, and each of these flips one bit of the sketch at most.
-    The ids of candidates are broadcast if there are at most broadcast_ids, else joined by a shuffle.
-    An empty index gives no pairs.
+    texts: (row_id, text); classes, counts: text_classes() of them. Copies share h and count once; two texts with
+    equal 64-bit h would count as copies. Candidates agree in an anchor and a nearby codeword index of one
+    segment, or in two anchors; left out before the exact similarity are only pairs whose sketches prove it
+    out of reach. NULL, empty and shorter texts are in no pair; an empty table gives none.
     """
-    spark = index.sparkSession
-    # Keys are partitioned by their anchor alone; with this, that serves the join on anchor and index.
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    sketch = [f"k{i}" for i in range(SKETCH)]
-    sigs = index.select(
-        "h", *(f"f{i}" for i in range(SEGMENTS // 2)), *(f"a{i}" for i in range(ANCHORS)), *sketch, F.col("n_shingles").cast("int").alias("size")
-    ).dropDuplicates(["h"])
-    carried = [*sketch, "size"]
-    mask = (1 << golay.LENGTH) - 1
-    segments = [
-        F.struct(
-            F.col(f"a{t}").alias("anchor"),
-            # In one number: 16 bits of each of the anchors one and two rounds on, and the segment's word.
-            reduce(
-                lambda x, k: F.shiftleft(x, 16).bitwiseOR(F.shiftrightunsigned(F.col(f"a{(t + k) % ANCHORS}"), 48)), STEPS[1:],
-                F.shiftrightunsigned(F.col(f"a{(t + STEPS[0]) % ANCHORS}"), 48),
-            ).alias("next"),
-            F.shiftright(F.col(f"f{t % SEGMENTS // 2}"), golay.LENGTH * (t % 2)).bitwiseAND(F.lit(mask)).alias("word"),
-        )
-        for t in range(ANCHORS)
-    ]
-    rows = (
-        sigs.select("h", *carried, F.explode(F.array(*segments)).alias("s"))
-        .select("h", *carried, "s.anchor", F.shiftleft("s.next", golay.LENGTH).bitwiseOR(F.col("s.word")).alias("packed"))
-        .repartition("anchor")
-    )
-    # Anchors of one text only have no partner; they go before the keys are multiplied.
-    met = rows.withColumn("_n", F.count("*").over(W.partitionBy("anchor"))).filter("_n > 1").drop("_n")
-    met = met.withColumn("word", F.col("packed").bitwiseAND(F.lit(mask)).cast("int"))
-    # Keys 0 to 5 are codeword indices; the others, 16 bits of the anchors one and two rounds on, are negative.
-    idx = golay.near_index(F.col("word"), F.col("which"))
-    for i in range(len(STEPS)):
-        idx = F.when(F.col("which") == 6 + i, F.lit(-1 - 65536 * i) - F.shiftright("packed", golay.LENGTH + 16 * i).bitwiseAND(F.lit(65535)).cast("int")).otherwise(idx)
-    keys = (
-        met.withColumn("which", F.explode(F.array(*[F.lit(i) for i in range(6 + len(STEPS))])))
-        .withColumn("idx", idx)
-        .filter("idx is not null")
-        .select("anchor", "idx", "h", *carried)
-    )
-    a, b = keys.alias("a"), keys.alias("b")
-    flips = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in sketch])
-    apart = (1 - similarity) / (1 + similarity) * (F.col("a.size") + F.col("b.size"))
-    reachable = (flips <= apart + 0.01) & (F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 0.01)
-    pairs = cut(
-        a.join(
-            b,
-            (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.idx") == F.col("b.idx"))
-            & (F.col("a.h") < F.col("b.h")) & reachable,
-        )
-        .select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"))
-        .distinct(),
-        "golay-candidates",
-    )
-    ids = pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct()
-    # One row stands for each text, so that only the texts of candidates are read and normalised again.
-    one = cut(index.select("row_id", "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("row_id").alias("row_id")).select("row_id"), "golay-ids")
-    one = F.broadcast(one) if one.count() <= broadcast_ids else one
-    held = with_words(texts.select("row_id", "text").join(one, "row_id", "left_semi"), n)
-    sets = cut(shingle_sets(held, n), "golay-shingles")
+    met = cut(candidate_pairs(texts, counts, similarity, n), "golay-candidates")
+    words = [f"k{i}" for i in range(SKETCH)]
+    one = classes.select("h", *words, "size").dropDuplicates(["h"])
+    side = lambda c: one.select(*[F.col(x).alias(f"{x}_{c}") for x in ("h", *words, "size")])
+    flips = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in words])
+    apart = (1 - similarity) / (1 + similarity) * (F.col("size_a") + F.col("size_b"))
+    near = (flips <= apart + 0.01) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 0.01)
+    rest = met.filter("not checked").join(side("a"), "h_a").join(side("b"), "h_b").filter(near)
+    pairs = cut(met.filter("checked").select("h_a", "h_b").union(rest.select("h_a", "h_b")), "golay-pairs")
+    sets = cut(_picked_sets(texts, pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct(), n), "golay-shingles")
     both = pairs.join(sets.select(F.col("h").alias("h_a"), F.col("s").alias("s_a")), "h_a").join(
         sets.select(F.col("h").alias("h_b"), F.col("s").alias("s_b")), "h_b"
     )

@@ -15,18 +15,18 @@ def job_key(name: str = "job_id"):
 
 # ---- problem 5: stems repeated with small changes
 def _stem_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(index with the job of each stem, pairs of similar stems)."""
+    """(classes of stems with their jobs, pairs of similar classes)."""
     stems = (
         table(spark, sf_dir, "items_full").filter("stem is not null and job_id is not null")
         .select(F.col("ord").alias("row_id"), job_key().alias("job"), F.col("stem").alias("text"))
     )
-    index = near_duplicates.index_texts(stems, ["job"])
-    return index, near_duplicates.similar_texts(index, stems)
+    classes, counts = near_duplicates.text_classes(stems, ["job"], 3)
+    return classes, near_duplicates.similar_texts(classes, counts, stems)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, links = _stem_links(spark, sf_dir)
-    members = index.select("job", "h").distinct()
+    classes, links = _stem_links(spark, sf_dir)
+    members = classes.select("job", "h").distinct()
     a = members.select(F.col("job").alias("x"), F.col("h").alias("h_a"))
     b = members.select(F.col("job").alias("y"), F.col("h").alias("h_b"))
     near = links.select("h_a", "h_b").join(a, "h_a").join(b, "h_b").select("x", "y")
@@ -41,9 +41,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct stem text of a job: its class (the text), its group of linked classes, and its links."""
-    index, pairs = _stem_links(spark, sf_dir)
+    classes, pairs = _stem_links(spark, sf_dir)
     links = cut(pairs, "stem-links")
-    members = index.groupBy("h", "job").agg(F.count("*").alias("n_rows"))
+    members = classes.groupBy("h", "job").agg(F.count("*").alias("n_rows"))
     linked = links.select(F.explode(F.array("h_a", "h_b")).alias("h")).groupBy("h").agg(F.count("*").alias("n_links"))
     groups = near_duplicates.connected_components(linked, links)
     return (

@@ -126,7 +126,70 @@ def _stems(spark, texts):
 
 
 def _similar(df, **at):
-    return near_duplicates.similar_texts(near_duplicates.index_texts(df), df, **at)
+    return near_duplicates.similar_texts(*near_duplicates.text_classes(df, [], 3), df, **at)
+
+
+def test_words_are_those_of_the_expression(spark):
+    texts = ["", " ", "One", "été 12-b", "a" * 5000, "x y  z\n1 É", "\u2603", "ends here.", None, "A a A"]
+    words, lengths = near_duplicates.word_hashes(texts)
+    rows = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "i int, t string").select("i", near_duplicates.normalised(F.col("t")).alias("n")).orderBy("i").collect()
+    split = [r.n.split() for r in rows]
+    assert lengths.tolist() == [len(ws) for ws in split]
+    flat = [w for ws in split for w in ws]
+    known: dict = {}
+    assert all(known.setdefault(w, h) == h for w, h in zip(flat, words.tolist())) and len(set(known.values())) == len(known)
+    hashes = near_duplicates.text_hashes(words, lengths).tolist()
+    assert len(set(hashes)) == len({tuple(ws) for ws in split})
+
+
+def test_golay_indices_agree(spark):
+    words = np.random.default_rng(3).integers(0, 1 << 23, 200)
+    at, index = golay.near_indices(words)
+    rows = spark.createDataFrame([(i, int(w)) for i, w in enumerate(words)], "i int, w int").select("i", F.array_compact(F.array(*[golay.near_index(F.col("w"), F.lit(k)) for k in range(6)])).alias("x")).collect()
+    assert all(sorted(index[at == r.i].tolist()) == sorted(r.x) for r in rows)
+
+
+def test_recall_at_every_length(spark):
+    """Blocks and single words changed to a similarity between 0.5 and 0.6, from 30 to 300 words."""
+    rng, texts = random.Random(8), []
+    for i in range(400):
+        n = 30 + 270 * i // 400
+        base = [f"t{i}w{k}" for k in range(n)]
+        copy = list(base)
+        if i % 2:
+            size = int((n - 2) * 0.29) - 2
+            at = rng.randrange(n - size)
+            copy[at : at + size] = [f"x{i}w{k}" for k in range(size)]
+        else:
+            for k in range(2, n - 1, 9):
+                copy[k] = f"x{i}w{k}"
+        texts += [" ".join(base), " ".join(copy)]
+    rows = _similar(_stems(spark, texts)).collect()
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    wanted = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    hits = [w for w in wanted if w >= 0.5]
+    assert len(hits) > 300 and np.mean(hits) < 0.6
+    assert len(hits) >= len(rows) >= 0.95 * len(hits)
+
+
+def test_blocks_of_pairs():
+    key = np.array([1, 1, 1, 2, 3, 3, 9])
+    for most in (1, 2, 100):
+        got = sorted((int(a), int(b)) for i, j in near_duplicates._equal_pairs(key, most) for a, b in zip(i, j))
+        assert got == [(0, 1), (0, 2), (1, 2), (4, 5)]
+
+
+def test_copies_hold_a_third(spark):
+    """A text copied many times and its variants still meet, though its shingles are in most texts."""
+    rng = random.Random(9)
+    base = [f"c{k}" for k in range(60)]
+    texts = [" ".join(base)] * 200
+    for i in range(12):
+        copy = list(base)
+        copy[5 * i] = f"v{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"o{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    assert _similar(_stems(spark, texts)).count() == 13 * 12 // 2
 
 
 def test_similar_texts_against_all_pairs(spark):
@@ -144,10 +207,9 @@ def test_similar_texts_against_all_pairs(spark):
     texts += [texts[0]] * 50 + [None, "", "two words", "w1 w2 w3"]
     df = _stems(spark, texts)
     found = {(r.h_a, r.h_b) for r in _similar(df).collect()}
-    assert found == {(r.h_a, r.h_b) for r in _similar(df, broadcast_ids=0).collect()}
-    rows = near_duplicates.with_words(df, 3).collect()
+    rows = near_duplicates.text_classes(df, ["jaccard"], 3)[0].collect()
     assert len(rows) == len(texts) - 3
-    shingles = {r.h: {tuple(r.norm.split()[i : i + 3]) for i in range(len(r.norm.split()) - 2)} for r in rows}
+    shingles = {r.h: {tuple(texts[r.row_id].split()[i : i + 3]) for i in range(len(texts[r.row_id].split()) - 2)} for r in rows}
     ids = sorted(shingles)
     wanted = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if 2 * len(shingles[a] & shingles[b]) >= len(shingles[a] | shingles[b])}
     assert not found - wanted
