@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from stemwright.session import cut
 
 KEY = ["question", "item_id"]
+PATTERN = ["question", "pattern", "check"]
+ENTRY = ["question", "rater", "label", "truth"]
 
 
 def label_counts(votes: DataFrame) -> DataFrame:
@@ -35,67 +37,88 @@ def agreement(votes: DataFrame) -> DataFrame:
     )
 
 
-def _confusions(votes: DataFrame, posteriors: DataFrame, smoothing: float) -> DataFrame:
-    """(question, rater, label, log_given): array of (truth, log P(label | truth)) and priors within."""
-    soft = (
-        votes.join(posteriors, KEY)
-        .groupBy("question", "rater", "label", "truth").agg(F.sum("p").alias("w"))
-    )
-    classes = posteriors.groupBy("question", "truth").agg(F.sum("p").alias("mass"))
-    n_classes = F.count("*").over(W.partitionBy("question"))
-    prior = (F.col("mass") + smoothing) / (F.sum("mass").over(W.partitionBy("question")) + smoothing * n_classes)
-    dim = classes.withColumn("k", n_classes).withColumn("log_prior", F.log(prior)).drop("mass")
-    raters = votes.select("question", "rater").distinct()
-    labels = dim.select("question", F.col("truth").alias("label"))
-    full = raters.join(dim, "question").join(labels, "question")
-    filled = full.join(soft, ["question", "rater", "label", "truth"], "left").withColumn(
-        "w", F.coalesce("w", F.lit(0.0)) + F.when(F.col("label") == F.col("truth"), 2 * smoothing).otherwise(smoothing)
-    )
-    row = W.partitionBy("question", "rater", "truth")
-    return filled.withColumn("given", F.col("w") / F.sum("w").over(row)).select(
-        "question", "rater", "label", "truth", "log_prior", "given"
-    )
+def vote_patterns(votes: DataFrame) -> DataFrame:
+    """(question, item_id, pattern, check): two 64-bit sums over the votes of an item; equal votes give equal sums."""
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "rater", "label").cast("decimal(20,0)"))
+    sums = votes.groupBy(*KEY).agg(mark(1).alias("a"), mark(2).alias("b"))
+    return sums.select(*KEY, F.xxhash64("a").alias("pattern"), F.xxhash64("b").alias("check"))
 
 
-def _posteriors(votes: DataFrame, confusions: DataFrame) -> DataFrame:
-    scored = (
-        votes.join(confusions, ["question", "rater", "label"])
-        .groupBy(*KEY, "truth").agg((F.sum(F.log("given")) + F.max("log_prior")).alias("s"))
+def _parameters(confusions: DataFrame, smoothing: float) -> DataFrame:
+    """Cells that occur with `given`, P(label | truth) of the rater, and the log prior of the truth.
+
+    A rater's row has the smoothing once for each label of the question and once more for the truth itself.
+    """
+    classes = confusions.groupBy("question", "truth").agg(F.sum("items").alias("k"))
+    question = W.partitionBy("question")
+    n_labels = F.count("*").over(question)
+    prior = F.log((F.col("k") + smoothing) / (F.sum("k").over(question) + smoothing * n_labels))
+    mass = F.sum("w").over(W.partitionBy("question", "rater", "truth"))
+    extra = F.when(F.col("label") == F.col("truth"), 2 * smoothing).otherwise(smoothing)
+    return confusions.withColumn("mass", mass).join(classes.select("question", "truth", n_labels.alias("n_labels"), prior.alias("log_prior")), ["question", "truth"]).select(
+        *ENTRY, "log_prior", ((F.col("w") + extra) / (F.col("mass") + smoothing * (F.col("n_labels") + 1))).alias("given")
     )
-    raised = scored.withColumn("e", F.exp(F.col("s") - F.max("s").over(W.partitionBy(*KEY))))
-    return raised.select(*KEY, "truth", (F.col("e") / F.sum("e").over(W.partitionBy(*KEY))).alias("p"))
 
 
-def annotator_model(votes: DataFrame, smoothing: float = 1.0, rounds: int = 6, tolerance: float = 5e-3) -> tuple[DataFrame, DataFrame]:
-    """(posteriors, reliabilities) by expectation-maximisation over each rater's confusion matrix.
+def _scored(cells: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(pattern, truth, n_votes, p): posteriors of the labels voted for in each pattern; every cell has its parameters."""
+    score = F.sum(F.log("given")) + F.max("log_prior")
+    joined = cells.join(parameters, ENTRY).groupBy(*PATTERN, "truth").agg(score.alias("s"), F.count("*").alias("n_votes"))
+    one = W.partitionBy(*PATTERN)
+    raised = joined.withColumn("e", F.exp(F.col("s") - F.max("s").over(one)))
+    return raised.select(*PATTERN, "truth", "n_votes", (F.col("e") / F.sum("e").over(one)).alias("p"))
+
 
-    votes: (item_id, question, rater, label), a rater at most once per item and question. Starts from the
-    shares of votes. Raters' matrices are the only state between rounds and are written to the shared
-    folder; votes and items are only ever aggregated, so an item may have any number of votes.
-    reliabilities: question, rater, n_votes, reliability = chance that the rater gives the true label.
-    Votes with a NULL are left out; empty votes give empty tables.
+def _estimated(cells: DataFrame, posteriors: DataFrame) -> DataFrame:
+    """The confusion cells that occur: w votes and the share `items` of the items they stand for; in the shared folder."""
+    soft = cells.join(posteriors.select(*PATTERN, "truth", "p", "n_votes"), [*PATTERN, "truth"])
+    weight = F.col("m") * F.col("p")
+    return cut(soft.groupBy(*ENTRY).agg(F.sum(weight).alias("w"), F.sum(weight / F.col("n_votes")).alias("items")), "confusions")
+
+
+def annotator_model(votes: DataFrame, smoothing: float = 1.0, rounds: int = 10, tolerance: float = 1e-2) -> tuple[DataFrame, DataFrame, bool]:
+    """(posteriors, reliabilities, converged) by expectation-maximisation over each rater's confusion matrix.
+
+    votes: (item_id, question, rater, label), a rater at most once per item and question. Items with the
+    same votes have the same posterior, so the rounds run over the different vote patterns, weighted by their
+    numbers of items. Confusion cells that don't occur are never made: they have the smoothing constant. The
+    truth of an item is one of the labels voted for. Starts from the shares of votes; ends when no cell
+    moves by more than the tolerance of its rater's votes, or after `rounds` (then converged is false).
+    posteriors: question, item_id, truth, p. reliabilities: question, rater, n_votes, reliability = smoothed
+    chance that the rater gives the true label, over the labels the rater used. Votes with a NULL are left out; empty votes give empty tables.
     """
     votes = votes.select(*KEY, "rater", "label").dropna()
-    shares = label_counts(votes).select(*KEY, F.col("label").alias("truth"), (F.col("n") / F.col("n_votes")).alias("p"))
-    confusions = cut(_confusions(votes, shares, smoothing), "confusions")
+    patterns = cut(vote_patterns(votes), "vote-patterns")
+    kinds = patterns.groupBy(*PATTERN).agg(F.count("*").alias("m"), F.min("item_id").alias("item_id"))
+    sample = cut(votes.join(kinds, KEY).select(*PATTERN, "m", "rater", "label"), "pattern-votes")
+    truths = sample.groupBy(*PATTERN, F.col("label").alias("truth")).agg(F.count("*").alias("n"), F.max("m").alias("m"))
+    cells = cut(sample.join(truths.select(*PATTERN, "truth"), PATTERN), "pattern-cells")
+    total = F.sum("n").over(W.partitionBy(*PATTERN))
+    confusions, converged = _estimated(cells, truths.select("*", total.alias("n_votes"), (F.col("n") / total).alias("p"))), False
+    cast = cut(sample.groupBy("question", "rater").agg(F.sum("m").alias("n_votes")), "raters")
     for _ in range(rounds - 1):
-        new = cut(_confusions(votes, _posteriors(votes, confusions), smoothing), "confusions")
-        keys = ["question", "rater", "label", "truth"]
-        moved = new.join(confusions.select(*keys, F.col("given").alias("old")), keys).agg(F.max(F.abs(F.col("given") - F.col("old"))))
+        new = _estimated(cells, _scored(cells, _parameters(confusions, smoothing)))
+        both = new.join(confusions.select(*ENTRY, F.col("w").alias("old")), ENTRY).join(cast, ["question", "rater"])
+        change = both.agg(F.max(F.abs(F.col("w") - F.col("old")) / (F.col("n_votes") + smoothing))).first()[0]
         confusions = new
-        change = moved.first()[0]
         if change is None or change <= tolerance:
+            converged = True
             break
-    hits = confusions.filter("label = truth").groupBy("question", "rater").agg(
-        F.sum(F.exp("log_prior") * F.col("given")).alias("reliability")
-    )
-    cast = votes.groupBy("question", "rater").agg(F.count("*").alias("n_votes"))
-    return _posteriors(votes, confusions), cast.join(hits, ["question", "rater"])
+    parameters = _parameters(confusions, smoothing)
+    last, weight = _scored(cells, parameters), F.exp("log_prior")
+    hits = parameters.filter("label = truth").groupBy("question", "rater").agg((F.sum(weight * F.col("given")) / F.sum(weight)).alias("reliability"))
+    return patterns.join(last, PATTERN).select(*KEY, "truth", "p"), cast.join(hits, ["question", "rater"]), converged
 
 
 def consensus_labels(votes: DataFrame, **model: float) -> DataFrame:
-    """One row per item, question and voted label: n, n_votes and the posterior of that label."""
-    posteriors, _ = annotator_model(votes, **model)
-    return label_counts(votes).join(
-        posteriors.select(*KEY, F.col("truth").alias("label"), F.col("p").alias("posterior")), [*KEY, "label"]
+    """One row per item and question: the label of the highest posterior (ties: more votes, then the greater label), with n, n_votes and posterior.
+
+    top and top_label: the most votes a label of the item has, and that label (ties: the smaller label).
+    """
+    posteriors = annotator_model(votes, **model)[0].select(*KEY, F.col("truth").alias("label"), F.col("p").alias("posterior"))
+    both = votes.dropna(subset=[*KEY, "label"]).groupBy(*KEY, "label").agg(F.count("*").alias("n")).join(posteriors, [*KEY, "label"])
+    best = F.max(F.struct(F.round("posterior", 9).alias("r"), "n", "label", "posterior")).alias("b")
+    most = F.min(F.struct((-F.col("n")).alias("k"), "label")).alias("t")
+    return both.groupBy(*KEY).agg(best, most, F.sum("n").alias("n_votes")).select(
+        *KEY, "b.label", "b.n", "n_votes", "b.posterior", (-F.col("t.k")).alias("top"), F.col("t.label").alias("top_label")
     )

@@ -25,6 +25,7 @@ from stemwright.llm import golay
 from stemwright.session import cut
 
 SEGMENTS = 8
+INDEX_ROUNDS = 10  # round t takes segment t mod 8 and an anchor of its own
 PAIR_ROUNDS = (6, 16)  # keys of two anchors: for texts below and from LONG shingles
 LONG = 128
 SHARE = 0.002  # shingles in a larger share of texts are drawn less often, by the square of the excess
@@ -215,7 +216,7 @@ def text_keys(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, n: int
         key.append(value)
 
     for t in range(max(PAIR_ROUNDS)):
-        if t == max(SEGMENTS, min(PAIR_ROUNDS)):
+        if t == max(INDEX_ROUNDS, min(PAIR_ROUNDS)):
             anchors.leave(sizes >= LONG)
             texts = np.flatnonzero(sizes >= LONG)
         if not len(texts):
@@ -223,9 +224,9 @@ def text_keys(words: np.ndarray, lengths: np.ndarray, counts: np.ndarray, n: int
         one, two = anchors.hashes(_SEEDS[t])
         place, _ = anchors.draw(one)
         first = _mix(anchors.code[place] + np.uint64(t))
-        if t < SEGMENTS:
+        if t < INDEX_ROUNDS:
             hot = anchors.near[place] > HOT
-            packed = (first & ~np.uint64((1 << golay.LENGTH) - 1)) | prints[:, t].astype(np.uint64)
+            packed = (first & ~np.uint64((1 << golay.LENGTH) - 1)) | prints[:, t % SEGMENTS].astype(np.uint64)
             add(texts[~hot], INDEX, packed[~hot])
             if hot.any():
                 full, at = golay_keys(packed[hot])

@@ -208,17 +208,24 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter("label != ''")
 
 
+def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.consensus_labels(cut(votes(spark, sf_dir), "votes"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of the annotator model that at least two votes and more than half of the votes support."""
-    labels = consensus.consensus_labels(cut(votes(spark, sf_dir), "votes"))
-    return labels.filter("n >= 2 and 2 * n > n_votes").select("item_id", "question", "label")
+    """The most probable label of each item and question by the annotator model, where at least two votes and more than half of them support it."""
+    return _consensus(spark, sf_dir).filter("n >= 2 and 2 * n > n_votes").select("item_id", "question", "label")
 
 
 def p7_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most probable label of each item and question, whether or not a majority holds it."""
-    labels = consensus.consensus_labels(cut(votes(spark, sf_dir), "votes"))
-    best = F.max_by(F.struct("label", "n", "n_votes", "posterior"), F.struct("posterior", "n", "label")).alias("b")
-    return labels.groupBy("item_id", "question").agg(best).select("item_id", "question", "b.*")
+    return _consensus(spark, sf_dir).select("item_id", "question", "label", "n", "n_votes", "posterior")
+
+
+def p7_overruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items where the model prefers another label than the one a majority of two votes or more holds."""
+    rows = _consensus(spark, sf_dir).filter("top >= 2 and 2 * top > n_votes and label != top_label")
+    return rows.select("item_id", "question", "label", "top_label", "posterior")
 
 
 def p7_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +297,7 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p10_found": p10_found, "p10_restored": p10_restored, "p10_sources": p10_sources,
     "p1_found": p1_found, "p1_unmatched": p1_unmatched,
-    "p7_found": p7_found, "p7_consensus": p7_consensus, "p7_agreement": p7_agreement, "p7_raters": p7_raters,
+    "p7_found": p7_found, "p7_consensus": p7_consensus, "p7_overruled": p7_overruled, "p7_agreement": p7_agreement, "p7_raters": p7_raters,
     "p8_found": p8_found, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p3_found": p3_found, "p3_truth": p3_truth, "p3_sources": p3_sources, "p4_sample": p4_sample, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_rates": p6_rates, "p6_hazards": p6_hazards,

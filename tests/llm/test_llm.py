@@ -299,7 +299,8 @@ def test_annotators(spark):
             votes.append((f"i{i}", "q", rater, label, 1))
     votes.append((None, "q", "r1", "a", 1))
     df = spark.createDataFrame(votes, "item_id string, question string, rater string, label string, truth int")
-    posteriors, reliabilities = consensus.annotator_model(df)
+    posteriors, reliabilities, converged = consensus.annotator_model(df)
+    assert converged
     best = posteriors.groupBy("item_id").agg(F.max_by("truth", "p").alias("t")).collect()
     assert sum(truth[r.item_id] == r.t for r in best) >= 140
     weight = {r.rater: r.reliability for r in reliabilities.collect()}
@@ -307,6 +308,20 @@ def test_annotators(spark):
     assert consensus.consensus_labels(df.filter("false")).count() == 0
 
 
+def test_model_overrules_careless_majorities(spark):
+    """Two raters always say a; where a third slips to a as well, the model takes the label of the careful ones."""
+    rng, votes, truth = random.Random(12), [], {}
+    for i in range(300):
+        truth[f"i{i}"] = rng.choice("abc")
+        for rater, care in (("r1", 0.97), ("r2", 0.97), ("r3", 0.8)):
+            votes.append((f"i{i}", "q", rater, truth[f"i{i}"] if rng.random() < care else "a"))
+        votes += [(f"i{i}", "q", "s1", "a"), (f"i{i}", "q", "s2", "a")]
+    rows = consensus.consensus_labels(spark.createDataFrame(votes, "item_id string, question string, rater string, label string")).collect()
+    overruled = [r for r in rows if 2 * r.top > r.n_votes and r.label != r.top_label]
+    assert len(rows) == 300 and len(overruled) >= 10
+    assert sum(r.label == truth[r.item_id] for r in rows) > sum(r.top_label == truth[r.item_id] for r in rows) + 10
+
+
 # ---- problem 8
 def test_leaks_against_all_pairs(spark):
     rng = random.Random(6)
