@@ -144,21 +144,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
+# Words that open a question or a request, and words that say nothing about which option a rationale means.
+ASKING = ["which", "what", "who", "where", "when", "how", "why", "identify", "select", "choose"]
+RATIONALE_STOP_WORDS = (
+    "a an the and or of to in on at for with by from as is are was were be been this that these those it its he she his her they them "
+    "their which what who most likely following best next step management appropriate diagnosis initial patient patients treatment "
+    "therapy would should could than then after before during over under between into within without about above below more less other "
+    "some any each such same only very also because due given has have had not no option options answer correct incorrect choice"
+).split()
+
+
 def has_lead_in(stem: Column) -> Column:
-    """Asks for something: '?' anywhere, ':' at the end, an unfinished last sentence, or a sentence that begins by asking."""
-    s = norm(stem)
-    return (
-        s.contains("?") | s.endswith(":") | s.rlike(r"(_{2,}|\.\.\.|…|[a-z,])\s*\.?$") & ~s.rlike(r"[a-z0-9)]\.$")
-        | F.element_at(F.split(s, r"(?<=[.?!])\s+"), -1).rlike(r"(?i)^(which|what|who|where|when|why|how)\b")
-    )
+    """Whether a stem asks for something: a '?' anywhere, a ':' at the end, an end without any of . ? ! :, or a sentence that opens by asking."""
+    s = F.trim(F.regexp_replace(F.coalesce(stem, F.lit("")), r"(?U)\s+", " "))
+    return s.contains("?") | ~s.rlike("[.!?]$") | s.rlike(r"(?i)(^|[.?!:]\s+)(" + "|".join(ASKING) + r")\b")
 
 
 def letter_mentions(text: Column) -> Column:
-    """Option letters a rationale names: 'option X', 'choice X', 'alternative X', 'answer is X' or '(X)'."""
-    t = F.coalesce(text, F.lit(""))
-    named = F.regexp_extract_all(t, F.lit(r"(?i)\b(?:option|choice|alternative|answer is)\s+\(?([A-E])\b"), F.lit(1))
-    bracketed = F.regexp_extract_all(t, F.lit(r"\(([A-E])\)"), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(named, bracketed), lambda x: F.upper(x)))
+    """Option letters a rationale names after option, choice, answer, 'answer is' or alternative (a colon or bracket may follow), or in brackets, in either case."""
+    found = F.regexp_extract_all(
+        F.coalesce(text, F.lit("")), F.lit(r"(?i)(\b(?:option|choice|answer(?: is)?|alternative)\s*[:(]?\s*[A-E]\b|\([A-E]\))"), F.lit(1)
+    )
+    return F.array_distinct(F.transform(found, lambda x: F.upper(F.regexp_extract(x, r"(?i)([A-E])\)?$", 1))))
+
+
+def rationale_words(text: Column) -> Column:
+    """Different words of four letters or more that say something about the content."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z][a-z\-']{3,})"), F.lit(1))
+    return F.array_except(words, F.array(*[F.lit(w) for w in RATIONALE_STOP_WORDS if len(w) >= 4]))
 
 
 def slug(text: Column) -> Column:

@@ -1,6 +1,6 @@
 """Schemas that drift between files: one table, one set of types, and a list of every change.
 
-Raw lines become (file, job, path, raw type, text) rows on the JVM side with VARIANT; everything
+Raw lines become (file, job, path, raw type, text) rows on the JVM side with VARIANT, parsed and written once; everything
 after that works on aggregates per file and field. No step holds a file or a job in one task.
 """
 
@@ -8,58 +8,44 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from stemwright.session import cut
+from stemwright.sources.readers import one_object
 
 FILE = ["run", "file_name"]
 
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """lines with a map `fields` (top-level name -> text) and an array of (name, raw type) `kinds`.
-
-    A line counts only if it is one strict JSON object; broken, empty and NULL lines get fields NULL.
-    VARIANT parsing ignores text after the value, so the record is parsed inside [...] and inside
-    {"r": ...}: nothing can follow it in both. A repeated key keeps its last value.
-    """
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    lines.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), "record", F.lit("]")))
-    again = F.try_parse_json(F.concat(F.lit('{"r":'), "record", F.lit("}")))
-    one = F.try_variant_get(wrapped, "$[0]", "variant")
-    two = F.try_variant_get(wrapped, "$[1]", "variant")
-    is_object = F.schema_of_variant(one).startswith("OBJECT") & two.isNull() & again.isNotNull()
-    return lines.withColumn("_v", F.when(is_object, one)).withColumn(
-        "_m", F.when(F.col("_v").isNotNull(), F.from_json("record", "map<string,string>"))
+def _kind(raw: Column) -> Column:
+    return (
+        F.when(raw == "STRING", "string").when(raw == "BOOLEAN", "boolean").when(raw.startswith("ARRAY"), "array")
+        .when(raw.startswith("OBJECT"), "object").when(raw == "VOID", None).otherwise("number")
     )
 
 
-def path_values(lines: DataFrame) -> DataFrame:
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """The JSON lines, written once: line_id, run, file_name, written_at, line_no, job and fields, an array of (field_name, kind, text).
+
+    fields holds each value other than null with its raw type and its raw text. A line counts only if it is one
+    JSON object; broken, empty and NULL lines are left out. A repeated key keeps its last value.
+    """
+    texts = F.map_entries(F.from_json("record", "map<string,string>"))
+    kinds = F.map_values(F.from_json("record", "map<string,variant>"))
+    rows = lines.filter(one_object(F.col("record"))).select("line_id", *FILE, "written_at", "line_no", texts.alias("t"), kinds.alias("v"))
+    named = F.transform("t", lambda e, i: F.struct(e["key"].alias("field_name"), _kind(F.schema_of_variant(F.get("v", i))).alias("kind"), e["value"].alias("text")))
+    last = F.filter("f", lambda e, i: F.array_max(F.transform("f", lambda x, k: F.when(x["field_name"] == e["field_name"], k))) == i)
+    fields = F.when(F.size(F.array_distinct(F.transform("f", lambda e: e["field_name"]))) == F.size("f"), F.col("f")).otherwise(last)
+    kept = rows.withColumn("f", named).withColumn("f", fields).withColumn("fields", F.filter("f", lambda e: e["kind"].isNotNull()))
+    job = F.get(F.filter("fields", lambda e: e["field_name"] == "job_id"), F.lit(0))["text"]
+    return cut(kept.select("line_id", *FILE, "written_at", "line_no", F.lower(F.trim(job)).alias("job"), "fields"), "drift-lines")
+
+
+def path_values(parsed: DataFrame) -> DataFrame:
     """One row per line and field with a value other than null: its raw type and its text."""
-    parsed = parsed_lines(lines)
-    exploded = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_v").outer()))
-    raw = F.schema_of_variant("value")
-    kind = (
-        F.when(raw == "STRING", "string")
-        .when(raw == "BOOLEAN", "boolean")
-        .when(raw.startswith("ARRAY"), "array")
-        .when(raw.startswith("OBJECT"), "object")
-        .when(raw == "VOID", None)
-        .otherwise("number")
-    )
-    return (
-        exploded.filter(F.col("key").isNotNull())
-        .select(
-            "line_id", *FILE, "written_at", "line_no",
-            F.lower(F.trim(F.element_at("_m", "job_id"))).alias("job"),
-            F.col("key").alias("field_name"), kind.alias("kind"),
-            F.element_at("_m", F.col("key")).alias("text"),
-        )
-        .filter("kind is not null")
-    )
+    return parsed.select("line_id", *FILE, "written_at", "line_no", "job", F.inline("fields"))
 
 
 def file_order(lines: DataFrame) -> DataFrame:
@@ -77,7 +63,7 @@ def path_stats(values: DataFrame) -> DataFrame:
     )
 
 
-def schema_changes(lines: DataFrame) -> DataFrame:
+def schema_changes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """Changes of each file against the one before it in its run, with the support of each rename.
 
     renamed: over the jobs in both files the gone and the new field hold the same texts (the first by
@@ -86,7 +72,8 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     Edge cases: a file without a JSON line has no fields; jobs are compared trimmed and in lower
     case; lines without job_id take no part in renames; an empty table gives no rows.
     """
-    values = cut(path_values(lines), "drift-values")
+    parsed = parsed_lines(lines) if parsed is None else parsed
+    values = path_values(parsed)
     order = cut(file_order(lines), "drift-files")
     steps = order.filter("prev_file is not null").select("run", "file_name", "prev_file")
     stats = cut(path_stats(values), "drift-stats")
@@ -107,34 +94,32 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     retyped = moved.filter("raw_change = 'retyped'").select("run", "step", "field_name", F.lit("retyped").alias("change_kind"))
 
     # Texts of gone fields in the earlier file and of new fields in the later one, for shared jobs only.
-    jobs = values.filter("job is not null").groupBy(*FILE, "job").agg(F.lit(1).alias("one")).drop("one")
+    jobs = parsed.filter("job is not null").select(*FILE, "job").distinct()
     shared = (
         steps.join(jobs, FILE)
         .join(jobs.select("run", F.col("file_name").alias("prev_file"), "job"), ["run", "prev_file", "job"], "left_semi")
-        .select("run", F.col("file_name").alias("step"), "prev_file", "job")
+        .select("run", F.col("file_name").alias("step"), "job")
     )
     gone = moved.filter("raw_change = 'removed'").select("run", "step", "field_name")
     came = moved.filter("raw_change = 'added'").select("run", "step", "field_name")
-    texts = values.filter("job is not null")
-    gone_texts = texts.join(
+    # Which fields of which files are compared: a small written table, so Spark knows its size.
+    wanted = cut(
         gone.join(steps.withColumnRenamed("file_name", "step"), ["run", "step"]).select(
-            "run", "step", F.col("prev_file").alias("file_name"), "field_name"
-        ),
-        [*FILE, "field_name"],
-    ).withColumn("side", F.lit("removed"))
-    came_texts = texts.join(
-        came.select("run", "step", F.col("step").alias("file_name"), "field_name"), [*FILE, "field_name"]
-    ).withColumn("side", F.lit("added"))
+            "run", "step", F.col("prev_file").alias("file_name"), "field_name", F.lit("removed").alias("side")
+        ).unionByName(came.select("run", "step", F.col("step").alias("file_name"), "field_name", F.lit("added").alias("side"))),
+        "drift-wanted",
+    )
+    held = values.filter("job is not null").select(*FILE, "line_no", "job", "field_name", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"))
+    compared = held.join(wanted, [*FILE, "field_name"])
     firsts = (
-        gone_texts.unionByName(came_texts)
-        .groupBy("run", "step", "side", "field_name", "job")
-        .agg(F.min_by("text", "line_no").alias("text"))
-        .join(shared.select("run", "step", "job"), ["run", "step", "job"], "left_semi")
+        compared.groupBy("run", "step", "side", "field_name", "job")
+        .agg(F.min(F.struct("line_no", "h1", "h2")).alias("t"))
+        .join(shared, ["run", "step", "job"], "left_semi")
     )
     marks = firsts.groupBy("run", "step", "side", "field_name").agg(
         F.count("*").alias("n_jobs"),
-        F.sum(F.xxhash64("job", "text").cast("decimal(20,0)")).alias("mark_a"),
-        F.sum(F.xxhash64(F.lit("second"), "text", "job").cast("decimal(20,0)")).alias("mark_b"),
+        F.sum(F.xxhash64("job", "t.h1").cast("decimal(20,0)")).alias("mark_a"),
+        F.sum(F.xxhash64("t.h2", "job").cast("decimal(20,0)")).alias("mark_b"),
     )
     keys = ["run", "step", "n_jobs", "mark_a", "mark_b"]
     links = cut(
@@ -219,8 +204,9 @@ def consistent_table(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     1 and 0; objects and arrays stay JSON text. A line with two spellings of one field keeps the
     canonical spelling, else the first by name. An empty table gives the key columns only.
     """
-    values = cut(path_values(lines), "drift-values")
-    names = canonical_names(path_stats(values), schema_changes(lines))
+    parsed = parsed_lines(lines)
+    values = path_values(parsed)
+    names = canonical_names(path_stats(values), schema_changes(lines, parsed))
     targets = _target_types(values, names)
     spark = lines.sparkSession
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("field_name", "canonical", "target")])

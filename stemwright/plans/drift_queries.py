@@ -21,7 +21,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = drift.path_stats(drift.path_values(_lines(spark, sf_dir)))
+    stats = drift.path_stats(drift.path_values(drift.parsed_lines(_lines(spark, sf_dir))))
     return stats.select("file_name", "field_name", "n_values", F.concat_ws(",", "kinds").alias("kinds"))
 
 

@@ -46,12 +46,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_written: dict[tuple[str, str], DataFrame] = {}
+_written: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, files: list[str]) -> tuple:
+    """Names, sizes and times of the files a table is read from."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flags table of the log, detected once in a session and written to the shared folder, as every report reads it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The flags table of the log, detected once for a state of its files and written to the shared folder, as every report reads it."""
+    key = (spark.sparkContext.applicationId, _state(spark, table(spark, sf_dir, "items_full").inputFiles()))
     held = _written.get(key)
     if held is None or not _there(held):
         held = _written[key] = cut(detector.detect(items(spark, sf_dir), keep=META), "flags")

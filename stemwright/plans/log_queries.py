@@ -73,7 +73,7 @@ def cost_ledger(spark, sf_dir):
     """Q21: cost of all attempts by run, prompt and tier, with totals (rollup)."""
     df = _log(spark, sf_dir).withColumn("tier", F.coalesce("tier", F.lit("?"))).withColumn("condition", F.coalesce("condition", F.lit("?")))
     return df.rollup("run", "condition", "tier").agg(
-        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_attempts"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost_usd"))
+        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_attempts"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0)).cast("decimal(18,8)")), 6).cast("double").alias("cost_usd"))
 
 
 def run_summary(spark, sf_dir):
@@ -142,14 +142,26 @@ def position_compliance(spark, sf_dir):
     return st.with_wilson(out, "n_hit", "n_items")
 
 
+_STABILITY = ["model_label", "specialty", "topic_index", "condition"]
+
+
 def stability_match(spark, sf_dir):
-    """Q13: the two repetitions of a cell side by side: same key, same composite."""
-    df = main_flags(spark, sf_dir)
-    cell = ["model_label", "specialty", "topic_index", "condition"]
-    one = lambda r: df.filter(f"rep = {r}").groupBy(*cell).agg(
-        F.min_by("key", "job_id").alias(f"key_{r}"), F.min_by("any_flaw", "job_id").alias(f"any_{r}"))
-    return one(0).join(one(1), cell).groupBy("model_label").agg(
-        F.count("*").alias("n_pairs"), F.count_if(F.col("key_0") == F.col("key_1")).alias("n_same_key"), F.count_if(F.col("any_0") == F.col("any_1")).alias("n_same_any"))
+    """Q13: a later run of a cell against the original one: same number of stem words (the proxy for the same item), key and composite.
+
+    The log holds one run, so repetition 1 stands for the re-run and repetition 0 for the original; jobs of a cell are matched each with each, as a merge on the cell does.
+    """
+    df = main_flags(spark, sf_dir).select(*_STABILITY, "rep", "stem_words", "key", "any_flaw")
+    side = lambda r, n: df.filter(f"rep = {r}").select(*_STABILITY, *[F.col(c).alias(f"{c}_{n}") for c in ("stem_words", "key", "any_flaw")])
+    same = lambda c: F.count_if(F.col(f"{c}_o") == F.col(f"{c}_s"))
+    return side(0, "o").join(side(1, "s"), _STABILITY).groupBy("model_label").agg(
+        F.count("*").alias("n_pairs"), same("stem_words").alias("n_same_words"), same("key").alias("n_same_key"), same("any_flaw").alias("n_same_any"))
+
+
+def stability_change(spark, sf_dir):
+    """Q13: share with a flaw and key letters, original against re-run, by model and prompt, with Wilson intervals."""
+    out = main_flags(spark, sf_dir).filter("rep in (0, 1)").groupBy("model_label", "condition", F.when(F.col("rep") == 0, "original").otherwise("rerun").alias("run")).agg(
+        F.count("*").alias("n_items"), F.sum("any_flaw").alias("n_hit"), F.sum("key_a").alias("n_key_a"))
+    return st.with_wilson(out, "n_hit", "n_items")
 
 
 def by_temperature(spark, sf_dir):
@@ -223,7 +235,7 @@ def second_pass(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     parse_outcomes, parse_report, repair_histogram, error_histogram, cost_ledger, run_summary, first_usable, first_parsed, success_else_first, last_row,
-    label_collapse, jobs_done, provider_mix, primary_provider, primary_only_prevalence, position_compliance, stability_match, by_temperature,
+    label_collapse, jobs_done, provider_mix, primary_provider, primary_only_prevalence, position_compliance, stability_match, stability_change, by_temperature,
     reasoning_arm, prompt_arms, job_grid, resume_todo, cost_capped, stratum_partition, stratified_sample, second_pass)}
 
 _LOG = f"l AS (SELECT * REPLACE (lower(trim(job_id, ' ')) AS job_id), coalesce({_USABLE}, false) AS u FROM items_full WHERE job_id IS NOT NULL)"
@@ -245,8 +257,8 @@ count(*) FILTER (WHERE first_ok)::BIGINT AS n_first_ok, count(*) FILTER (WHERE f
 count(*) FILTER (WHERE final)::BIGINT AS n_final, sum(tokens)::BIGINT AS tokens FROM p GROUP BY ROLLUP (model_label, condition))""",
     "repair_histogram": f"WITH {_LOG} SELECT model_label, coalesce(parse_repair, '?') AS parse_repair, count(*)::BIGINT AS n_rows FROM l GROUP BY ALL",
     "error_histogram": f"WITH {_LOG} SELECT model_label, CASE WHEN lower(trim(coalesce(parse_error, ''))) IN ('', 'none') THEN 'none' ELSE lower(trim(parse_error)) END AS error, count(*)::BIGINT AS n_rows FROM l GROUP BY ALL",
-    "cost_ledger": f"""WITH {_LOG}, c AS (SELECT run, coalesce(condition, '?') AS condition, coalesce(tier, '?') AS tier, coalesce(cost_usd, 0) AS cost FROM l)
-SELECT run, condition, tier, grouping_id(run, condition, tier)::BIGINT AS level, count(*)::BIGINT AS n_attempts, round(sum(cost), 6) AS cost_usd FROM c GROUP BY ROLLUP (run, condition, tier)""",
+    "cost_ledger": f"""WITH {_LOG}, c AS (SELECT run, coalesce(condition, '?') AS condition, coalesce(tier, '?') AS tier, coalesce(cost_usd, 0)::DECIMAL(18, 8) AS cost FROM l)
+SELECT run, condition, tier, grouping_id(run, condition, tier)::BIGINT AS level, count(*)::BIGINT AS n_attempts, round(sum(cost), 6)::DOUBLE AS cost_usd FROM c GROUP BY ROLLUP (run, condition, tier)""",
     "run_summary": f"""WITH {_LOG} SELECT model_label, count(*)::BIGINT AS n_attempts, count(DISTINCT job_id)::BIGINT AS n_jobs, count(*) FILTER (WHERE ok)::BIGINT AS n_ok,
 round(avg(latency_s), 6) AS mean_latency, round(quantile_cont(latency_s, 0.5), 6) AS median_latency, round(avg(completion_tokens), 6) AS mean_tokens FROM l GROUP BY model_label""",
     "first_usable": f"WITH {_LOG} SELECT job_id, min(ord) AS ord FROM l WHERE u GROUP BY job_id",
@@ -265,9 +277,11 @@ b AS (SELECT 'all' AS rows, condition, any_flaw FROM main UNION ALL SELECT 'prim
 SELECT rows, condition, count(*)::BIGINT AS n_items, sum(any_flaw)::BIGINT AS n_hit, round(avg(any_flaw), 6) AS share FROM b GROUP BY ALL""",
     "position_compliance": f"""WITH {ITEMS_SQL}, c AS (SELECT target_position, count(*)::BIGINT AS n_items, count(*) FILTER (WHERE upper(trim(answer)) = target_position)::BIGINT AS n_hit
 FROM items WHERE condition = 'guided_position' AND target_position IS NOT NULL GROUP BY ALL) SELECT *, {_wilson_sql('n_hit', 'n_items')} FROM c""",
-    "stability_match": f"""WITH {FLAGS_SQL}, c AS (SELECT model_label, specialty, topic_index, condition, rep, arg_min(key, job_id) AS k, arg_min(any_flaw, job_id) AS a FROM main GROUP BY ALL)
-SELECT x.model_label, count(*)::BIGINT AS n_pairs, count(*) FILTER (WHERE x.k = y.k)::BIGINT AS n_same_key, count(*) FILTER (WHERE x.a = y.a)::BIGINT AS n_same_any
-FROM c x JOIN c y USING (model_label, specialty, topic_index, condition) WHERE x.rep = 0 AND y.rep = 1 GROUP BY x.model_label""",
+    "stability_match": f"""WITH {FLAGS_SQL} SELECT x.model_label, count(*)::BIGINT AS n_pairs, count(*) FILTER (WHERE x.stem_words = y.stem_words)::BIGINT AS n_same_words,
+count(*) FILTER (WHERE x.key = y.key)::BIGINT AS n_same_key, count(*) FILTER (WHERE x.any_flaw = y.any_flaw)::BIGINT AS n_same_any
+FROM main x JOIN main y USING (model_label, specialty, topic_index, condition) WHERE x.rep = 0 AND y.rep = 1 GROUP BY x.model_label""",
+    "stability_change": f"""WITH {FLAGS_SQL}, c AS (SELECT model_label, condition, CASE rep WHEN 0 THEN 'original' ELSE 'rerun' END AS run, count(*)::BIGINT AS n_items,
+sum(any_flaw)::BIGINT AS n_hit, sum(key_a)::BIGINT AS n_key_a FROM main WHERE rep IN (0, 1) GROUP BY ALL) SELECT *, {_wilson_sql('n_hit', 'n_items')} FROM c""",
     "by_temperature": f"WITH {FLAGS_SQL} SELECT temperature, count(*)::BIGINT AS n_items, sum(any_flaw)::BIGINT AS n_hit FROM main GROUP BY temperature",
     "reasoning_arm": f"""WITH {FLAGS_SQL}, d AS (SELECT * FROM full_flags WHERE condition IN ('plain', 'guided')),
 k AS (SELECT DISTINCT model_label, specialty, topic_index FROM d WHERE reasoning_mode = 'on'),

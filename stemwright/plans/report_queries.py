@@ -140,19 +140,31 @@ CELL = ["model_label", "specialty", "topic_index", "condition", "reasoning_mode"
 
 
 def _repeated(spark, sf_dir):
-    """Cells with exactly two repetitions: both rows side by side."""
-    df = items(spark, sf_dir).select(*CELL, "job_id", "stem")
-    cells = df.groupBy(*CELL).agg(F.count("*").alias("n"), F.min_by("stem", "job_id").alias("a"), F.max_by("stem", "job_id").alias("b"))
+    """Cells with exactly two repetitions: the texts (stem and all options) of both side by side."""
+    text = F.concat_ws(" ", "stem", F.transform("options", lambda o: o["t"]))
+    df = items(spark, sf_dir).select(*CELL, "job_id", text.alias("text"))
+    cells = df.groupBy(*CELL).agg(F.count("*").alias("n"), F.min_by("text", "job_id").alias("a"), F.max_by("text", "job_id").alias("b"))
     return cells.filter("n = 2")
 
 
 def repetition_similarity(spark, sf_dir):
-    """Q17: three-word similarity of the two repetitions of a cell, with totals by model (rollup)."""
-    pairs = _repeated(spark, sf_dir).withColumn("j", tx.jaccard(tx.shingles(F.col("a")), tx.shingles(F.col("b"))))
-    return pairs.rollup("model_label", "condition").agg(
-        F.grouping_id().cast("long").alias("level"), F.count("*").alias("n_pairs"), F.count_if(F.col("j") >= 0.5).alias("n_half"),
-        F.count_if(F.col("j") >= 0.8).alias("n_most"), F.round(F.max("j"), 6).alias("largest"),
-        F.round(F.get(F.array_sort(F.collect_list("j")), F.floor(F.count("*") / 2).cast("int")), 6).alias("upper_median"))
+    """Q17: three-word similarity of the two repetitions of a cell (stem and options), with totals by model (rollup).
+
+    The upper median comes from counts of equal similarities, so no list of a group is built.
+    """
+    pairs = _repeated(spark, sf_dir).select("model_label", "condition", tx.jaccard(tx.shingles(F.col("a")), tx.shingles(F.col("b"))).alias("j"))
+    keys = ["level", "model_label", "condition"]
+    none = F.lit(None).cast("string")
+    levels = [(0, F.col("model_label"), F.col("condition")), (1, F.col("model_label"), none), (3, none, none)]
+    prefixes = F.explode(F.array(*[F.struct(F.lit(v).cast("long").alias("level"), m.alias("model_label"), c.alias("condition")) for v, m, c in levels]))
+    counts = pairs.groupBy("model_label", "condition", "j").agg(F.count("*").alias("n"))
+    values = counts.select(prefixes.alias("p"), "j", "n").select("p.*", "j", "n").groupBy(*keys, "j").agg(F.sum("n").alias("n"))
+    whole = W.partitionBy(*keys)
+    joined = values.withColumn("upto", F.sum("n").over(whole.orderBy("j"))).withColumn("n_pairs", F.sum("n").over(whole))
+    return joined.groupBy(*keys).agg(
+        F.max("n_pairs").alias("n_pairs"), F.sum(F.when(F.col("j") >= 0.5, F.col("n")).otherwise(0)).alias("n_half"),
+        F.sum(F.when(F.col("j") >= 0.8, F.col("n")).otherwise(0)).alias("n_most"), F.round(F.max("j"), 6).alias("largest"),
+        F.round(F.min(F.when(F.col("upto") > F.floor(F.col("n_pairs") / 2), F.col("j"))), 6).alias("upper_median"))
 
 
 def rationale_letter(spark, sf_dir):
@@ -164,23 +176,17 @@ def rationale_letter(spark, sf_dir):
 
 
 def rationale_lexical(spark, sf_dir):
-    """Q16: rationales with three words or more whose best matching option isn't the key, by two words or more."""
-    def ws(c):
-        return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z\-']{3,})"), F.lit(1)))
-
-    df = items(spark, sf_dir).withColumn("r", ws(F.col("rationale"))).withColumn(
-        "o", F.transform("options", lambda o: F.struct(o["l"].alias("l"), ws(o["t"]).alias("w"))))
-    df = df.withColumn("m", F.transform("o", lambda o: F.struct(o["l"].alias("l"), F.size(F.array_intersect("r", o["w"])).alias("k"))))
+    """Q16: rationales of three content words or more whose best matching option isn't the key, by two words or more."""
+    df = items(spark, sf_dir).withColumn("r", tx.rationale_words(F.col("rationale")))
+    df = df.withColumn("m", F.transform("options", lambda o: F.struct(o["l"].alias("l"), F.size(F.array_intersect("r", tx.rationale_words(o["t"]))).alias("k"))))
     own = F.coalesce(F.get(F.transform(F.filter("m", lambda x: x["l"] == F.upper(F.trim("answer"))), lambda x: x["k"]), F.lit(0)), F.lit(0))
     best = F.array_max(F.transform("m", lambda x: x["k"]))
     return df.groupBy("condition").agg(F.count("*").alias("n_items"), F.count_if(F.size("r") >= 3).alias("n_read"), F.count_if((F.size("r") >= 3) & (best - own >= 2)).alias("n_mismatch"))
 
 
 def leadin(spark, sf_dir):
-    """Q18: stems without a question by model and prompt: no '?', no ':' at the end, no blank to fill."""
-    s = tx.norm(F.col("stem"))
-    asks = s.contains("?") | s.endswith(":") | s.rlike(detector.BLANK)
-    return items(spark, sf_dir).groupBy("model_label", "condition").agg(F.count("*").alias("n_items"), F.count_if(~asks).alias("n_missing"))
+    """Q18: stems that never ask anything, by model and prompt."""
+    return items(spark, sf_dir).groupBy("model_label", "condition").agg(F.count("*").alias("n_items"), F.count_if(~tx.has_lead_in(F.col("stem"))).alias("n_missing"))
 
 
 def stem_quintiles(spark, sf_dir):
@@ -260,7 +266,8 @@ def _abs_sql() -> str:
 
 
 _SH = lambda x: f"list_distinct(list_transform(range(1, greatest(len({x}) - 1, 1)), lambda i: array_to_string({x}[i:i + 2], ' ')))"
-_RW = lambda x: rf"list_distinct(regexp_extract_all(lower(coalesce({x}, '')), '[a-z][a-z\-'']{{3,}}'))"
+_RSTOP = ", ".join(f"'{w}'" for w in tx.RATIONALE_STOP_WORDS)
+_RW = lambda x: rf"list_distinct(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z][a-z\-'']{{3,}}'), lambda v: v NOT IN ({_RSTOP})))"
 _CHI = "(pow(key_a - n / 5, 2) + pow(key_b - n / 5, 2) + pow(key_c - n / 5, 2) + pow(key_d - n / 5, 2) + pow(key_e - n / 5, 2)) / (n / 5)"
 
 ORACLE = {
@@ -292,21 +299,23 @@ FROM main, (VALUES {_GRID}) AS g(ratio, min_words) GROUP BY ratio, min_words""")
     "absolute_distractors_only": _f(f""", {_abs_sql()}, a2 AS (SELECT job_id, bool_or(in_key) AS k, bool_or(NOT in_key) AS d FROM a1 WHERE len(ws) > 0 GROUP BY job_id)
 SELECT CASE WHEN k AND d THEN 'both' WHEN k THEN 'key' ELSE 'distractors' END AS place, count(*)::BIGINT AS n_items FROM a2 GROUP BY ALL"""),
     "repetition_similarity": f"""WITH {FLAGS_SQL.split('d1 AS (')[0].rstrip().rstrip(',')},
-c AS (SELECT {', '.join(CELL)}, count(*) AS n, arg_min(stem, job_id) AS a, arg_max(stem, job_id) AS b FROM items GROUP BY ALL HAVING count(*) = 2),
+t AS (SELECT {', '.join(CELL)}, job_id, concat_ws(' ', stem, option_a, option_b, option_c, option_d, option_e) AS text FROM items),
+c AS (SELECT {', '.join(CELL)}, count(*) AS n, arg_min(text, job_id) AS a, arg_max(text, job_id) AS b FROM t GROUP BY ALL HAVING count(*) = 2),
 w AS (SELECT *, regexp_extract_all(lower(a), '[a-z0-9]+') AS wa, regexp_extract_all(lower(b), '[a-z0-9]+') AS wb FROM c),
 s AS (SELECT *, {_SH('wa')} AS sa, {_SH('wb')} AS sb FROM w),
 j AS (SELECT *, len(list_intersect(sa, sb))::DOUBLE / (len(sa) + len(sb) - len(list_intersect(sa, sb))) AS j FROM s)
 SELECT model_label, condition, grouping_id(model_label, condition)::BIGINT AS level, count(*)::BIGINT AS n_pairs, count(*) FILTER (WHERE j >= 0.5)::BIGINT AS n_half,
 count(*) FILTER (WHERE j >= 0.8)::BIGINT AS n_most, round(max(j), 6) AS largest, round(list_sort(list(j))[count(*) // 2 + 1], 6) AS upper_median FROM j GROUP BY ROLLUP (model_label, condition)""",
     "rationale_letter": _f(r""", n AS (SELECT model_label, key, list_distinct(list_transform(list_concat(
-regexp_extract_all(coalesce(rationale, ''), '(?i)\b(?:option|choice|alternative|answer is)\s+\(?([A-E])\b', 1), regexp_extract_all(coalesce(rationale, ''), '\(([A-E])\)', 1)), lambda x: upper(x))) AS nm FROM full_flags)
+regexp_extract_all(coalesce(rationale, ''), '(?i)\b(?:option|choice|answer(?: is)?|alternative)\s*[:(]?\s*([A-E])\b', 1), regexp_extract_all(coalesce(rationale, ''), '(?i)\(([A-E])\)', 1)), lambda x: upper(x))) AS nm FROM full_flags)
 SELECT model_label, count(*)::BIGINT AS n_items, count(*) FILTER (WHERE len(nm) > 0)::BIGINT AS n_named, count(*) FILTER (WHERE len(nm) > 0 AND NOT list_contains(nm, key))::BIGINT AS n_mismatch FROM n GROUP BY model_label"""),
     "rationale_lexical": f"""WITH {FLAGS_SQL.split('d1 AS (')[0].rstrip().rstrip(',')},
 r AS (SELECT condition, upper(trim(answer)) AS key, {_RW('rationale')} AS r, [{_RW('option_a')}, {_RW('option_b')}, {_RW('option_c')}, {_RW('option_d')}, {_RW('option_e')}] AS o FROM items),
 m AS (SELECT condition, r, list_transform(o, lambda w: len(list_intersect(r, w))) AS k, ascii(key) - 64 AS i FROM r)
 SELECT condition, count(*)::BIGINT AS n_items, count(*) FILTER (WHERE len(r) >= 3)::BIGINT AS n_read, count(*) FILTER (WHERE len(r) >= 3 AND list_max(k) - k[i] >= 2)::BIGINT AS n_mismatch FROM m GROUP BY condition""",
-    "leadin": _f(r"""SELECT model_label, condition, count(*)::BIGINT AS n_items,
-count(*) FILTER (WHERE NOT (contains(st, '?') OR st LIKE '%:' OR regexp_matches(st, '(?i)_{2,}|\[blank\]|\(blank\)')))::BIGINT AS n_missing FROM full_flags GROUP BY ALL"""),
+    "leadin": f"""WITH {FLAGS_SQL.split('d1 AS (')[0].rstrip().rstrip(',')}, s AS (SELECT model_label, condition, trim(regexp_replace(coalesce(stem, ''), '\\s+', ' ', 'g')) AS s FROM items)
+SELECT model_label, condition, count(*)::BIGINT AS n_items, count(*) FILTER (WHERE NOT (contains(s, '?') OR s LIKE '%:' OR NOT regexp_matches(s, '[.!?:]$')
+  OR regexp_matches(s, '(?i)(?:^|[.?!:]\\s+)({"|".join(tx.ASKING)})\\b')))::BIGINT AS n_missing FROM s GROUP BY ALL""",
     "stem_quintiles": _f(""", e AS (SELECT quantile_cont(stem_words, [0.2, 0.4, 0.6, 0.8]) AS e FROM full_flags)
 SELECT (1 + (stem_words > e[1])::INT + (stem_words > e[2])::INT + (stem_words > e[3])::INT + (stem_words > e[4])::INT) AS fifth, count(*)::BIGINT AS n_items,
 min(stem_words) AS least, max(stem_words) AS most, sum(any_flaw)::BIGINT AS n_hit FROM full_flags, e GROUP BY fifth"""),

@@ -68,7 +68,7 @@ def verified_attempt(spark, sf_dir):
 
 def last_verdicts(spark, sf_dir):
     """P5: the last value of each flag of a job within a file; later lines overwrite."""
-    values = drift.path_values(_lines(spark, sf_dir)).filter(F.col("field_name").isin(RULES) & F.col("job").isNotNull())
+    values = drift.path_values(drift.parsed_lines(_lines(spark, sf_dir))).filter(F.col("field_name").isin(RULES) & F.col("job").isNotNull())
     return values.groupBy("file_name", "job", "field_name").agg(F.max_by("text", "line_no").alias("value"))
 
 

@@ -21,14 +21,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.filter(F.length(F.trim("value")) > 0).select("value", "file_name", F.struct("_start", "_id").alias("ord"))
 
 
+def one_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else; a repeated key is allowed (its last value counts).
+
+    Parsers take text after a value, so the text is read inside [...]; only where it could close that bracket itself, it is read inside {"r": ...} too.
+    """
+    alone = (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1) & F.trim(text).startswith("{")
+    again = F.when(text.rlike(r"\}\s*\]"), F.get_json_object(F.concat(F.lit('{"r":'), text, F.lit("}")), "$.r").isNotNull()).otherwise(F.lit(True))
+    return F.coalesce(alone & again, F.lit(False))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """JSON lines by schema with ord; a broken line gives NULL columns and its text in _broken."""
+    names = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fieldNames()
     lines = read_lines(spark, path).withColumn("_r", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
-    # from_json accepts text after the object; parsing inside brackets doesn't.
-    whole = F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))).isNotNull() & F.try_parse_json(
-        F.concat(F.lit('{"r":'), "value", F.lit("}"))).isNotNull()
+    whole = one_object(F.col("value"))
     return lines.select("file_name", "ord", F.when(whole, F.col("_r")).alias("_r"), F.when(~whole, F.col("value")).alias("_broken")).select(
-        "file_name", "ord", "_r.*", "_broken")
+        "file_name", "ord", *[F.col("_r")[n].alias(n) for n in names], "_broken")
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
