@@ -25,10 +25,10 @@ from stemwright.llm import golay
 from stemwright.session import cut
 
 SEGMENTS = 8
-INDEX_ROUNDS = 10  # round t takes segment t mod 8 and an anchor of its own
+INDEX_ROUNDS = 8  # round t takes segment t mod 8 and an anchor of its own
 PAIR_ROUNDS = (6, 16)  # keys of two anchors: for texts below and from LONG shingles
 LONG = 128
-SHARE = 0.002  # shingles in a larger share of texts are drawn less often, by the square of the excess
+SHARE = 0.0025  # shingles in a larger share of texts are drawn less often, by the square of the excess
 GAP = 8  # words between the two anchors of a key
 COUNTERS = 1 << 17  # of the frequency sketch
 HOT = 20_000  # anchors in more texts than this are spread over their codewords before the shuffle
@@ -394,13 +394,13 @@ def text_classes(texts: DataFrame, carry: list[str], n: int, counters: int = COU
 def candidate_pairs(texts: DataFrame, counts: np.ndarray, similarity: float = 0.5, n: int = 3) -> DataFrame:
     """(h_a < h_b, checked): different texts that share a key; checked ones have sketches within reach of the similarity."""
     # Unsigned order within an anchor, so that a task can end blocks where the anchor changes.
-    rows = _key_rows(texts, counts, n).withColumn("anchor", F.shiftrightunsigned("key", golay.LENGTH))
-    sorted_rows = rows.repartition("anchor").sortWithinPartitions("anchor", "key", "h").select("kind", "key", "h", "sketch", "size")
-    return _met(sorted_rows, similarity).groupBy("h_a", "h_b").agg(F.max("checked").alias("checked"))
+    anchor = F.shiftrightunsigned("key", golay.LENGTH)
+    rows = _key_rows(texts, counts, n).repartition(anchor).sortWithinPartitions(anchor, "key", "h")
+    return _met(rows, similarity).groupBy("h_a", "h_b").agg(F.max("checked").alias("checked"))
 
 
 def _picked_sets(texts: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
-    """(h, s): different shingles of the texts whose h is among hashes (h), and of few others.
+    """(h, s): different shingles, 32 bits of the hash of each, of the texts whose h is among hashes (h), and of few others.
 
     The texts are picked by a bitmap of at most BITMAP bits, 16 for each hash up to that; a full one picks all.
     """
@@ -424,10 +424,10 @@ def _picked_sets(texts: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
             if keep.any():
                 code, doc = _distinct(*shingle_hashes(*only_texts(words, lengths, keep), n))
                 ends = np.searchsorted(doc, np.arange(keep.sum() + 1)).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(code.view(np.int64)))
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array((code >> np.uint64(12)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep]), sets], names=["h", "s"])
 
-    return texts.select("text").mapInArrow(run, "h long, s array<long>").dropDuplicates(["h"])
+    return texts.select("text").mapInArrow(run, "h long, s array<int>").dropDuplicates(["h"])
 
 
 def similar_texts(classes: DataFrame, counts: np.ndarray, texts: DataFrame, similarity: float = 0.5, n: int = 3) -> DataFrame:
@@ -436,7 +436,8 @@ def similar_texts(classes: DataFrame, counts: np.ndarray, texts: DataFrame, simi
     texts: (row_id, text); classes, counts: text_classes() of them. Copies share h and count once; two texts with
     equal 64-bit h would count as copies. Candidates agree in an anchor and a nearby codeword index of one
     segment, or in two anchors; left out before the exact similarity are only pairs whose sketches prove it
-    out of reach. NULL, empty and shorter texts are in no pair; an empty table gives none.
+    out of reach. Shingles are compared by 32 bits of their hashes: in about one pair of 100,000 two of them coincide,
+    which moves the similarity by less than a hundredth. NULL, empty and shorter texts are in no pair; an empty table gives none.
     """
     met = cut(candidate_pairs(texts, counts, similarity, n), "golay-candidates")
     words = [f"k{i}" for i in range(SKETCH)]
