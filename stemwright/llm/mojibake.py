@@ -6,6 +6,11 @@ each document; a swap maps units to letters. Letters are judged by the character
 corpus: how often a letter follows the left neighbour and precedes the right one. Each round the
 E-step gives every document its most probable swap, and the M-step counts the character pairs again,
 with the units of garbled documents read as their letters, and the share of each swap in each source.
+
+Swaps of known code pages are starting points only. For what they leave, a mapping is learned for each
+source: a unit (a run of one to three foreign characters) is given the letter whose neighbours its own
+resemble, if documents that hold it hold hardly any letter of the alphabet; documents and the units' odds
+are then estimated in turn.
 """
 
 from __future__ import annotations
@@ -153,19 +158,94 @@ def restored(text: str, mapping: dict[str, str], kept: frozenset[str]) -> str:
     return text.translate({ord(u): c for u, c in mapping.items() if len(u) == 1 and u not in kept})
 
 
+def run_counts(text: str) -> Counter[tuple[str, str, str]]:
+    """(run, left, right) of the runs of one to three foreign characters of a text."""
+    return Counter(
+        (m.group(), _neighbour(text[m.start() - 1 : m.start()] if m.start() else ""), _neighbour(text[m.end() : m.end() + 1]))
+        for m in _FOREIGN.finditer(text) if m.end() - m.start() <= 3
+    )
+
+
+class Cipher:
+    """The learned mapping of each source: unit -> (letter, log odds that a document with the unit is garbled)."""
+
+    LEAST_DOCS = 5  # documents of a source a unit must be in before it is judged
+
+    def __init__(self) -> None:
+        self.units: dict[str, dict[str, tuple[str, float]]] = {}
+        self.alphabet: frozenset[str] = frozenset()
+
+    def learn(
+        self, letters: dict[tuple[str, str, str], float], docs: dict[tuple[str, str], int], beside: dict[tuple[str, str, str], int],
+        share: dict[tuple[str, str], float], places: dict[tuple[str, str], Counter],
+    ) -> None:
+        """letters: (letter, left, right) counts of all documents; docs: (source, unit) -> documents with the unit; beside: (source, unit,
+        letter) -> those of them that hold the letter too; share: (source, letter) -> share of the source's documents that hold it;
+        places: (source, unit) -> its (left, right) counts."""
+        left, right, one, all_left, all_right = Counter(), Counter(), Counter(), Counter(), Counter()
+        for (c, a, b), n in letters.items():
+            if c in self.alphabet:
+                one[c] += n
+                left[c, a] += n
+                right[c, b] += n
+                all_left[a] += n
+                all_right[b] += n
+        base = sum(one.values()) or 1
+
+        def likeness(c: str, a: str, b: str) -> float:
+            """Log odds of the neighbours beside this letter against beside any letter."""
+            pa, pb = (all_left[a] + 1.0) / (base + 40.0), (all_right[b] + 1.0) / (base + 40.0)
+            return float(np.log((left[c, a] + 8 * pa) / ((one[c] + 8) * pa)) + np.log((right[c, b] + 8 * pb) / ((one[c] + 8) * pb)))
+
+        options: list[tuple[float, str, str, str]] = []
+        for (source, unit), held in docs.items():
+            if len(unit) > 1 and any(c in self.alphabet for c in unit):
+                continue
+            around = places[source, unit]
+            n = sum(around.values())
+            if sum(k for (a, _), k in around.items() if a.isalpha()) < 0.3 * n:  # a mark before words, no letter
+                continue
+            for c in self.alphabet:
+                usual, both = share.get((source, c), 0.0), beside.get((source, unit, c), 0)
+                # A misread letter is missing from the documents that hold the unit in its place.
+                if c != unit and usual > 0.05 and both <= 0.25 * usual * held and held * usual - both > 2.0:
+                    fit = sum(k * likeness(c, a, b) for (a, b), k in around.items())
+                    if fit > max(4.0, 0.4 * n):
+                        options.append((fit, source, unit, c))
+        taken: set[tuple[str, str]] = set()
+        for _, source, unit, c in sorted(options, reverse=True):  # a cipher gives each letter to one unit, the surest first
+            if unit not in self.units.get(source, {}) and (source, c) not in taken:
+                self.units.setdefault(source, {})[unit] = (c, 2.5)
+                taken.add((source, c))
+
+    def verdict(self, source: str, runs: list[str], n: list[int]) -> float:
+        """Log odds that a document with these runs is garbled: units speak for it, letters that they stand for against."""
+        units = self.units.get(source, {})
+        own = sum(units[r][1] for r in set(runs) if r in units)
+        if own <= 0:
+            return 0.0
+        meant = {c for c, _ in units.values()}
+        foes = sum(k for r, k in zip(runs, n) if r in meant and r not in units)
+        return own - 0.7 * foes - 1.5
+
+    def mapping(self, source: str) -> dict[str, str]:
+        return {u: c for u, (c, odds) in self.units.get(source, {}).items() if odds > 0}
+
+
 def _unit_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counted = [unit_counts(t) for t in batch["text"]]
+            counted, runs = [unit_counts(t) for t in batch["text"]], [run_counts(t) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"], "source": batch["source"],
                     "places": [["\t".join(p) for p in c] for c in counted], "n": [list(c.values()) for c in counted],
+                    "runs": [["\t".join(p) for p in c] for c in runs], "k": [list(c.values()) for c in runs],
                 }
             )
 
     foreign = docs.filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-    return foreign.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, places array<string>, n array<int>")
+    return foreign.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, places array<string>, n array<int>, runs array<string>, k array<int>")
 
 
 def _assigned(rows: DataFrame, gains: dict, priors: dict[str, dict[str, float]]) -> DataFrame:
@@ -183,11 +263,72 @@ def _assigned(rows: DataFrame, gains: dict, priors: dict[str, dict[str, float]])
                 odds.append(value)
             yield batch.assign(swap=swap, log_odds=odds)
 
-    return rows.mapInPandas(run, "doc_id long, source string, places array<string>, n array<int>, swap string, log_odds double")
+    kept = "doc_id long, source string, places array<string>, n array<int>, runs array<string>, k array<int>"
+    return rows.mapInPandas(run, f"{kept}, swap string, log_odds double")
 
 
-def garbled_documents(docs: DataFrame, rounds: int = 3) -> tuple[DataFrame, PairModel]:
-    """((doc_id, source, swap, log_odds) of garbled documents, the last pair model).
+def _learned(assigned: DataFrame, letters: dict[tuple[str, str, str], float], rounds: int = 2) -> tuple[DataFrame, Cipher]:
+    """(assigned with the documents that learned mappings explain, the mappings)."""
+    spark, cipher = assigned.sparkSession, Cipher()
+    rest = assigned.filter("swap = ''").select(F.col("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.transform("runs", lambda p: F.split(p, "\t")).alias("s"), "k")
+    each = rest.select("doc_id", "source", F.explode(F.arrays_zip("s", "k")).alias("p")).select(
+        "doc_id", "source", F.get("p.s", F.lit(0)).alias("unit"), F.get("p.s", F.lit(1)).alias("l"), F.get("p.s", F.lit(2)).alias("r"), F.col("p.k").alias("n")
+    )
+    # The alphabet: letters with a five-hundredth of all letters in a third of the sources, two at least, so that one source's misreadings are none of it.
+    by_source: dict[str, Counter] = {}
+    for r in each.filter(F.col("unit").rlike(r"^\p{L}$")).groupBy("source", "unit").agg(F.sum("n").alias("n")).toLocalIterator():
+        by_source.setdefault(r.source, Counter())[r.unit] += r.n
+    usual = Counter(c for counts in by_source.values() for c, n in counts.items() if n >= 0.002 * sum(counts.values()))
+    cipher.alphabet = frozenset(c for c, k in usual.items() if k >= max(min(2, len(by_source)), len(by_source) / 3))
+    if not cipher.alphabet:
+        return assigned, cipher
+    known = F.array(*[F.lit(c) for c in sorted(cipher.alphabet)])
+    units = each.select("doc_id", "source", "unit").distinct()
+    per_unit = units.groupBy("source", "unit").agg(F.count("*").alias("docs"))
+    sizes = {r.source: r.n for r in rest.groupBy("source").agg(F.count("*").alias("n")).toLocalIterator()}
+    frequent = cut(per_unit.filter(F.col("docs") >= Cipher.LEAST_DOCS), "frequent-units")
+    docs, share = {}, {}
+    for r in frequent.toLocalIterator():  # units of LEAST_DOCS documents of a source or more
+        docs[r.source, r.unit] = r.docs
+        if r.unit in cipher.alphabet:
+            share[r.source, r.unit] = r.docs / sizes[r.source]
+    docs = {key: n for key, n in docs.items() if key[1] not in cipher.alphabet}
+    own = rest.select("doc_id", F.array_intersect(F.array_distinct(F.transform("s", lambda p: F.get(p, F.lit(0)))), known).alias("own"))
+    strange = frequent.filter(~F.col("unit").isin(sorted(cipher.alphabet))).select("source", "unit")
+    pairs = units.join(strange, ["source", "unit"]).join(own, "doc_id").select("source", "unit", F.explode("own").alias("c")).groupBy("source", "unit", "c").agg(F.count("*").alias("n"))
+    beside = {(r.source, r.unit, r.c): r.n for r in pairs.toLocalIterator()}
+    places: dict[tuple[str, str], Counter] = {key: Counter() for key in docs}
+    around = each.join(strange, ["source", "unit"]).groupBy("source", "unit", "l", "r").agg(F.sum("n").alias("n"))
+    for r in around.toLocalIterator():
+        places[r.source, r.unit][r.l, r.r] += r.n
+    cipher.learn(letters, docs, beside, share, places)
+    if not cipher.units:
+        return assigned, cipher
+    kept = "doc_id long, source string, places array<string>, n array<int>, runs array<string>, k array<int>, swap string, log_odds double"
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(cipher)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                odds = [shared.value.verdict(s or "", [p.split("\t")[0] for p in runs], list(k)) for s, runs, k in zip(batch["source"], batch["runs"], batch["k"])]
+                hit = np.array(odds) > 0
+                yield batch.assign(swap=np.where((batch["swap"] == "") & hit, "learned", batch["swap"]), log_odds=np.where((batch["swap"] == "") & hit, odds, batch["log_odds"]))
+
+        out = cut(assigned.mapInPandas(run, kept), "learned")
+        if turn == rounds - 1:
+            return out, cipher
+        # The units' odds from the documents as they are now judged.
+        now = out.filter("swap in ('', 'learned')").select(F.coalesce("source", F.lit("")).alias("source"), "swap", F.explode(F.array_distinct(F.transform("runs", lambda p: F.element_at(F.split(p, "\t"), 1)))).alias("unit"))
+        table = now.groupBy("source", "unit").agg(F.count_if(F.col("swap") == "learned").alias("g"), F.count("*").alias("n")).filter("g > 0")
+        for r in table.toLocalIterator():
+            unit = cipher.units.get(r.source, {}).get(r.unit)
+            if unit:
+                cipher.units[r.source][r.unit] = (unit[0], float(np.log((r.g + 0.5) / (r.n - r.g + 0.5))))
+    return assigned, cipher
+
+
+def garbled_documents(docs: DataFrame, rounds: int = 3) -> tuple[DataFrame, PairModel, Cipher]:
+    """((doc_id, source, swap, log_odds) of garbled documents, the last pair model, the learned mappings).
 
     docs: (doc_id, source, text). Texts that are NULL, empty or plain ASCII are never garbled; a text with
     U+FFFD always is. The driver holds counts of (unit, left, right): units are single characters or the
@@ -220,24 +361,28 @@ def garbled_documents(docs: DataFrame, rounds: int = 3) -> tuple[DataFrame, Pair
                 totals[source or ""] += n
                 hits.setdefault(source or "", Counter())[swap] += n
             priors = {s: {k: float(np.log((h[k] + 0.1) / (totals[s] + 100.0))) for k in swaps()} for s, h in hits.items()}
-    return assigned.filter("swap != ''").select("doc_id", "source", "swap", "log_odds"), model
+    assigned, cipher = _learned(assigned, counts)
+    return assigned.filter("swap != ''").select("doc_id", "source", "swap", "log_odds"), model, cipher
 
 
-def restored_documents(docs: DataFrame, garbled: DataFrame, model: PairModel) -> DataFrame:
+def restored_documents(docs: DataFrame, garbled: DataFrame, model: PairModel, cipher: Cipher) -> DataFrame:
     """(doc_id, swap, restored): the text with its swap undone; NULL where characters were lost.
 
     Single characters whose own reading is the likelier one in their place are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, cipher))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = shared.value
+        pairs, learned = shared.value
         for batch in batches:
             out: list[str | None] = []
-            for text, swap in zip(batch["text"], batch["swap"]):
+            for text, swap, source in zip(batch["text"], batch["swap"], batch["source"]):
                 if swap == "lost" or LOST in text:
                     out.append(None)
                     continue
+                if swap == "learned":
+                    out.append(restored(text, learned.mapping(source or ""), frozenset()))
+                    continue
                 mapping = swaps()[swap]
                 counts = unit_counts(text)
                 gain: Counter[str] = Counter()
@@ -247,5 +392,5 @@ def restored_documents(docs: DataFrame, garbled: DataFrame, model: PairModel) ->
                 out.append(restored(text, mapping, frozenset(u for u, g in gain.items() if g <= 0)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "swap": batch["swap"], "restored": out})
 
-    joined = docs.select("doc_id", "text").join(garbled.select("doc_id", "swap"), "doc_id")
-    return joined.select("doc_id", "text", "swap").mapInPandas(run, "doc_id long, swap string, restored string")
+    joined = docs.select("doc_id", "text").join(garbled.select("doc_id", "source", "swap"), "doc_id")
+    return joined.select("doc_id", "text", "source", "swap").mapInPandas(run, "doc_id long, swap string, restored string")

@@ -240,10 +240,8 @@ def p7_raters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- problem 8: held-out items in documents
 def _passages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), near_duplicates.normalised(F.col("text")).alias("norm"))
-    items = table(spark, sf_dir, "reference_items").select(
-        F.col("itemnum").cast("long").alias("id"), near_duplicates.normalised(F.col("itemstem_text")).alias("norm")
-    )
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = table(spark, sf_dir, "reference_items").select(F.col("itemnum").cast("long").alias("id"), F.col("itemstem_text").alias("text"))
     return docs, items
 
 

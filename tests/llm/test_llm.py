@@ -1,5 +1,6 @@
 """Operators for training data: edge cases on small fixtures, brute force, and the queries against their SQL."""
 
+import difflib
 import random
 
 import numpy as np
@@ -335,8 +336,8 @@ def test_leaks_against_all_pairs(spark):
         start = rng.randrange(max(1, len(source) - size))
         docs.append((d, " ".join(body[:50] + source[start : start + size] + body[50:])))
     docs += [(500, None), (501, ""), (502, docs[0][1]), (503, items[1][1] if len(items[1][1].split()) >= 13 else docs[1][1])]
-    d = spark.createDataFrame([(*x, "e") for x in docs], "id long, norm string, minhash string")
-    i = spark.createDataFrame(items + [(99, None)], "id long, norm string")
+    d = spark.createDataFrame([(*x, "e") for x in docs], "id long, text string, minhash string")
+    i = spark.createDataFrame(items + [(99, None)], "id long, text string")
     found = {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, i).collect()}
     wanted = set()
     for di, dt in docs:
@@ -384,8 +385,39 @@ def test_mojibake_round_trip(spark):
                (1002, clean[0].encode("cp1252").decode("cp850")), (1003, clean[0].encode("cp1252").decode("utf-8", "replace"))]
     edge = [(2000, "s", None), (2001, None, ""), (2002, "s", "plain ASCII"), (2003, "s", "├── folder └── file ✓ São Paulo"), (2004, "s", clean[1] * 500)]
     df = spark.createDataFrame([(*r, "x") for r in rows + [(i, "s", t) for i, t in swapped] + edge], "doc_id long, source string, text string, swap string")
-    garbled, model = mojibake.garbled_documents(df)
+    garbled, model, cipher = mojibake.garbled_documents(df)
     assert {r.doc_id for r in garbled.collect()} == {1000, 1001, 1002, 1003}
-    back = {r.doc_id: r.restored for r in mojibake.restored_documents(df, garbled, model).collect()}
+    back = {r.doc_id: r.restored for r in mojibake.restored_documents(df, garbled, model, cipher).collect()}
     assert back[1001] == clean[2] and back[1002] == clean[0] and back[1003] is None
     assert mojibake.garbled_documents(df.filter("false"))[0].count() == 0
+
+
+@pytest.mark.parametrize("written, read", [("cp1252", "cp1253"), ("utf-8", "cp1257"), ("cp1252", None), ("utf-8", None)])
+def test_unknown_code_pages_are_learned(spark, written, read):
+    """Pages outside the list, one of them in no library, are found by the mapping learned for their source and undone."""
+    rng = random.Random(14)
+    words = ("médecin déjà vu élève père mère forêt tête bâton âge où après très août clé été jeté früh Müller schön größer Tür für über Gefäß "
+             "hören können mögen später Ärzte trägt fällt Nähe être même côté hôpital tôt dîner île").split()
+    plain = ("le patient a une fièvre et la toux der Arzt sieht den Fall mit and then pain of chest").split()
+    page = [chr(0x10D0 + i) if i < 40 else chr(0x0561 + i - 40) if i < 78 else chr(0x0E01 + i - 78) if i < 124 else chr(0x1210 + i) for i in range(128)]
+    rng.shuffle(page)
+
+    def garbled(text):
+        data = text.encode(written)
+        return mojibake._decode(data, read) if read else "".join(chr(x) if x < 128 else page[x - 128] for x in data)
+
+    rows, hurt, true = [], set(), {}
+    for i in range(1200):
+        text = " ".join(rng.choice(words if rng.random() < 0.5 else plain) for _ in range(40))
+        bad = i % 3 == 1 and i % 10 < 2 and garbled(text) != text
+        hurt |= {i} if bad else set()
+        true[i] = text
+        rows.append((i, f"s{i % 3}", garbled(text) if bad else text))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found, model, cipher = mojibake.garbled_documents(df)
+    ids = {r.doc_id for r in found.collect()}
+    assert len(ids & hurt) >= 0.9 * len(hurt) > 50 and len(ids - hurt) <= 0.05 * len(hurt)
+    back = {r.doc_id: r.restored for r in mojibake.restored_documents(df, found, model, cipher).collect()}
+    right = [difflib.SequenceMatcher(None, back[i], true[i], autojunk=False).ratio() for i in ids & hurt]
+    before = [difflib.SequenceMatcher(None, rows[i][2], true[i], autojunk=False).ratio() for i in ids & hurt]
+    assert np.mean(right) > 0.97 and np.mean(right) > np.mean(before) + 0.03
