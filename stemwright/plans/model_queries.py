@@ -221,23 +221,9 @@ def dose_response(spark, sf_dir):
     return _frame(spark, rows, _OLS)
 
 
-def self_checks(spark, sf_dir):
-    """Q36: assertions with their computed and expected values."""
-    low, high = (98 / 400 + 1.96**2 / 800) / (1 + 1.96**2 / 400), 0.0
-    half = 1.96 * math.sqrt(98 / 400 * 302 / 400 / 400 + 1.96**2 / (4 * 400**2)) / (1 + 1.96**2 / 400)
-    counts = np.array([197, 111, 68, 20, 4.0])
-    chi2 = float(((counts - 80) ** 2 / 80).sum())
-    rows = [
-        ("wilson 98 of 400, low", round(100 * (low - half), 1), 20.5), ("wilson 98 of 400, high", round(100 * (low + half), 1), 28.9),
-        ("chi2 of five letters", round(chi2, 1), 302.1), ("kappa of 8, 5, 4, 83", round(exact.kappa(8, 5, 4, 83), 2), 0.59),
-        ("splits of 15 models", float(math.comb(15, 7)), 6435.0),
-    ]
-    return spark.createDataFrame([(a, b, c, b == c) for a, b, c in rows], "label string, computed double, expected double, ok boolean")
-
-
 QUERIES = {f.__name__: f for f in (
     logit_guided, logit_guided_errors, logit_adjusted, model_odds, pooled_adjusted_odds, pooled_odds, model_contrasts, tier_permutation, tier_welch, tier_intervals, topic_bootstrap,
-    psychometrics_ols, psychometrics_difference, source_comparison, source_logit, dose_response, self_checks)}
+    psychometrics_ols, psychometrics_difference, source_comparison, source_logit, dose_response)}
 
 _ABCD = """count(*) FILTER (WHERE guided = 1 AND any_flaw = 1)::DOUBLE AS a, count(*) FILTER (WHERE guided = 1 AND any_flaw = 0)::DOUBLE AS b,
 count(*) FILTER (WHERE guided = 0 AND any_flaw = 1)::DOUBLE AS c, count(*) FILTER (WHERE guided = 0 AND any_flaw = 0)::DOUBLE AS d"""
@@ -257,6 +243,4 @@ SELECT round((x.m - y.m) / sqrt(x.v + y.v), 5) AS t, round(pow(x.v + y.v, 2) / (
     "tier_intervals": f"""WITH {FLAGS_SQL}, r AS (SELECT model_label, min(tier) AS tier, avg(any_flaw) AS rate FROM main WHERE condition = 'plain' GROUP BY model_label),
 s AS (SELECT tier, count(*) AS n, avg(rate) AS m, {exact.T_975}[(count(*) - 1)::INT] * stddev_samp(rate) / sqrt(count(*)) AS h FROM r GROUP BY tier)
 SELECT tier, n::INT AS n_models, round(m, 6) AS mean, round(m - h, 6) AS lo, round(m + h, 6) AS hi FROM s""",
-    "self_checks": """SELECT * FROM (VALUES ('wilson 98 of 400, low', 20.5::DOUBLE, 20.5::DOUBLE, true), ('wilson 98 of 400, high', 28.9, 28.9, true),
-('chi2 of five letters', 302.1, 302.1, true), ('kappa of 8, 5, 4, 83', 0.59, 0.59, true), ('splits of 15 models', 6435.0, 6435.0, true)) AS t(label, computed, expected, ok)""",
 }

@@ -263,3 +263,42 @@ def test_psychometrics_are_adjusted(spark):
     wanted = np.linalg.lstsq(X, y, rcond=None)[0][1]
     for term in (flag, "n_cueing"):
         assert found["difficulty", term] == pytest.approx(wanted, abs=1e-6)
+
+
+def test_exact_tails_of_large_counts():
+    assert exact.binomial_cdf(3, 10, 0.3) == pytest.approx(0.6496107184) and exact.binomial_cdf(10, 10, 0.3) == 1 and exact.binomial_cdf(-1, 10, 0.3) == 0
+    low, high = exact.clopper_pearson(3000, 6000)
+    assert low == pytest.approx(0.48727, abs=1e-4) and high == pytest.approx(0.51273, abs=1e-4)
+    assert 0.5 < exact.mcnemar_exact(2980, 3020) < 0.7 and exact.sign_test(0, 6000) == pytest.approx(0, abs=1e-12)
+    assert exact.t_two_sided(2.2281, 10) == pytest.approx(0.05, abs=1e-4) and exact.chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-5)
+    assert exact.item_bootstrap(lambda x: float(x.mean()), [1.0] * 20) == (1.0, 1.0) and math.isnan(exact.item_bootstrap(lambda x: 0.0, [])[0])
+
+
+def test_repeated_keys_and_trailing_text(spark, tmp_path):
+    from stemwright.sources import readers
+
+    lines = ['{"a":"1","a":"2"}', '{"a":"3"} x', '{"a":"4"}],[{"a":"5"}', '[{"a":"6"}]', '{"a":{"b":[{"c":1}]}}', "null"]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    rows = readers.read_jsonl_tolerant(spark, str(tmp_path / "x.jsonl"), "a string").collect()
+    assert [r.a for r in rows] == ["2", '{"b":[{"c":1}]}']
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from stemwright import session
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        session.shared_dir(far)
+
+
+def test_lead_in_and_letter_mentions(spark):
+    from stemwright.functions import text as tx
+
+    stems = {"A man coughs. Which is best? He waits.": True, "The diagnosis is": True, "The diagnosis is:": True, "He coughs. Select one.": True, "He coughs. He waits.": False, "He coughs!": False, "": True}
+    rows = spark.createDataFrame(list(stems.items()), "s string, w boolean").select("s", "w", tx.has_lead_in(F.col("s")).alias("g")).collect()
+    assert [(r.s, r.w) for r in rows if r.w != r.g] == []
+    said = {"answer B is right": ["B"], "option: c": ["C"], "(d) and (D)": ["D"], "choice(A": ["A"], "the answer is E": ["E"], "a fine one": []}
+    rows = spark.createDataFrame(list(said.items()), "s string, w array<string>").select("s", "w", tx.letter_mentions(F.col("s")).alias("g")).collect()
+    assert [(r.s, r.g) for r in rows if r.w != r.g] == []
