@@ -173,6 +173,7 @@ class Cipher:
 
     def __init__(self) -> None:
         self.units: dict[str, dict[str, tuple[str, float]]] = {}
+        self.usual: frozenset[str] = frozenset()
         self.alphabet: frozenset[str] = frozenset()
 
     def learn(
@@ -199,7 +200,7 @@ class Cipher:
 
         options: list[tuple[float, str, str, str]] = []
         for (source, unit), held in docs.items():
-            if len(unit) > 1 and any(c in self.alphabet for c in unit):
+            if set(unit) <= self.usual or any(c in self.alphabet for c in unit):
                 continue
             around = places[source, unit]
             n = sum(around.values())
@@ -274,12 +275,13 @@ def _learned(assigned: DataFrame, letters: dict[tuple[str, str, str], float], ro
     each = rest.select("doc_id", "source", F.explode(F.arrays_zip("s", "k")).alias("p")).select(
         "doc_id", "source", F.get("p.s", F.lit(0)).alias("unit"), F.get("p.s", F.lit(1)).alias("l"), F.get("p.s", F.lit(2)).alias("r"), F.col("p.k").alias("n")
     )
-    # The alphabet: letters with a five-hundredth of all letters in a third of the sources, two at least, so that one source's misreadings are none of it.
+    # Usual characters have a five-hundredth of all in a third of the sources, two at least, so that one source's misreadings are none of them; their letters are the alphabet.
     by_source: dict[str, Counter] = {}
-    for r in each.filter(F.col("unit").rlike(r"^\p{L}$")).groupBy("source", "unit").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in each.filter(F.length("unit") == 1).groupBy("source", "unit").agg(F.sum("n").alias("n")).toLocalIterator():
         by_source.setdefault(r.source, Counter())[r.unit] += r.n
     usual = Counter(c for counts in by_source.values() for c, n in counts.items() if n >= 0.002 * sum(counts.values()))
-    cipher.alphabet = frozenset(c for c, k in usual.items() if k >= max(min(2, len(by_source)), len(by_source) / 3))
+    cipher.usual = frozenset(c for c, k in usual.items() if k >= max(min(2, len(by_source)), len(by_source) / 3))
+    cipher.alphabet = frozenset(c for c in cipher.usual if c.isalpha())
     if not cipher.alphabet:
         return assigned, cipher
     known = F.array(*[F.lit(c) for c in sorted(cipher.alphabet)])
