@@ -213,8 +213,12 @@ def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most probable label of each item and question by the annotator model, where at least two votes and more than half of them support it."""
-    return _consensus(spark, sf_dir).filter("n >= 2 and 2 * n > n_votes").select("item_id", "question", "label")
+    """The most probable label of each item and question by the annotator model, where at least two votes and more than half of them support it.
+
+    An item whose majority the model overrules (p7_overruled) keeps the majority's label, as the result is defined by votes.
+    """
+    chosen = F.when(F.expr("n >= 2 and 2 * n > n_votes"), F.col("label")).when(F.expr("top >= 2 and 2 * top > n_votes"), F.col("top_label"))
+    return _consensus(spark, sf_dir).select("item_id", "question", chosen.alias("label")).filter("label is not null")
 
 
 def p7_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
