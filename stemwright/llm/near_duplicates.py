@@ -29,6 +29,7 @@ INDEX_ROUNDS = 8  # round t takes segment t mod 8 and an anchor of its own
 PAIR_ROUNDS = (6, 16)  # keys of two anchors: for texts below and from LONG shingles
 LONG = 128
 SHARE = 0.0025  # shingles in a larger share of texts are drawn less often, by the square of the excess
+FEW = 50  # shingles in no more texts are never drawn less often
 GAP = 8  # words between the two anchors of a key
 COUNTERS = 1 << 17  # of the frequency sketch
 HOT = 20_000  # anchors in more texts than this are spread over their codewords before the shuffle
@@ -165,7 +166,7 @@ class Anchors:
     def __init__(self, code: np.ndarray, doc: np.ndarray, counts: np.ndarray, share: float = SHARE):
         place = np.arange(len(code))
         near = counts[_slots(code, len(counts) - 1)]
-        dull = np.maximum(1.0, near / (share * max(1, counts[-1]))) ** 2
+        dull = np.maximum(1.0, near / max(FEW, share * counts[-1])) ** 2
         likely = dull < 50
         rich = np.bincount(doc, weights=likely / dull) >= 2
         keep = likely | ~rich[doc]
