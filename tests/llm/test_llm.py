@@ -4,6 +4,8 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +241,48 @@ def test_similar_texts_empty(spark):
     assert _similar(_stems(spark, [None, "", "two words"])).count() == 0
 
 
+def _all_pairs(texts):
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    return {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 2 * len(a & b) >= len(a | b) > 0}
+
+
+def _variants(rng, count, words, changed):
+    base, texts = [f"c{k}" for k in range(words)], []
+    for i in range(count):
+        copy = list(base)
+        for k in rng.sample(range(words), changed):
+            copy[k] = f"v{i}w{k}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+def test_many_near_copies_of_one_text_all_meet(spark):
+    """Hundreds of different near-copies share frequent shingles only; no pair of them is lost."""
+    texts = _variants(random.Random(11), 300, 60, 3)
+    wanted = _all_pairs(texts)
+    assert len(wanted) > 10_000
+    assert _similar(_stems(spark, texts)).count() == len(wanted)
+
+
+def test_long_lists_are_split_without_loss(tmp_path, monkeypatch):
+    rng = random.Random(12)
+    texts = _variants(rng, 60, 40, 2) + _variants(rng, 60, 9, 1) + ["c1 c2 c3", "c1 c2 c3 c4", "c2 c3 c4 c5", "c1 c2 c3 c4 c5", "x y z", "x y z z"]
+    words, lengths = near_duplicates.word_hashes(texts)
+    token, sizes, bits = near_duplicates.ordered_sets(words, lengths, near_duplicates.ranks(np.ones(1025, dtype=np.int64)), 3)
+    ends = np.cumsum(sizes)
+    sets = [token[e - k : e].tobytes() for e, k in zip(ends, sizes)]
+    path = f"{tmp_path}/sets.parquet"
+    pq.write_table(pa.table({"h": np.arange(len(texts)), "s": pa.array(sets, pa.binary()), "k": pa.array([b.tobytes() for b in bits], pa.binary())}), path)
+    for few, many in ((24, 4096), (2, 8), (1, 3)):
+        monkeypatch.setattr(near_duplicates, "FEW", few)
+        monkeypatch.setattr(near_duplicates, "MANY", many)
+        found = set()
+        for part in range(3):
+            for batch in near_duplicates.Lists([f"file://{path}"], part, 3, 0.5).pairs():
+                found |= set(zip(batch.column("h_b").to_pylist(), batch.column("h_a").to_pylist()))
+        assert found == _all_pairs(texts)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (12, 12)], "h_a long, h_b long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 10, 11, 12, 20)], "h long")
