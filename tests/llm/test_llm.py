@@ -283,6 +283,26 @@ def test_long_lists_are_split_without_loss(tmp_path, monkeypatch):
         assert found == _all_pairs(texts)
 
 
+def _shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_copies_are_not_shuffled(spark, tmp_path):
+    """Jobs with the same stem give pairs by the square of their number; the rows shuffled grow with the jobs only."""
+    jobs, others = 400, 12
+    stem = " ".join(f"s{k}" for k in range(40))
+    rows = [(i, f"job{i:04d}", stem) for i in range(jobs)]
+    rows += [(jobs + i, f" JOB{i:04d}", f"{stem} and {i} more") for i in range(others)]  # other stems of the first jobs
+    spark.createDataFrame(rows, "ord long, job_id string, stem string").write.parquet(f"{tmp_path}/items_full.parquet")
+    before = _shuffled_rows(spark)
+    found = [(r.job_a, r.job_b) for r in queries.p5_found(spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) == jobs * (jobs - 1) // 2
+    assert _shuffled_rows(spark) - before < 40_000
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (12, 12)], "h_a long, h_b long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 10, 11, 12, 20)], "h long")
