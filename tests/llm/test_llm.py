@@ -283,6 +283,46 @@ def test_long_lists_are_split_without_loss(tmp_path, monkeypatch):
         assert found == _all_pairs(texts)
 
 
+def _lists_of(texts, counts, path, n=3):
+    """All texts' sets, in the order that the counts give their shingles, as one part."""
+    token, sizes, bits = near_duplicates.ordered_sets(*near_duplicates.word_hashes(texts), near_duplicates.ranks(counts), n)
+    sets = [token[e - k : e].tobytes() for e, k in zip(np.cumsum(sizes), sizes)]
+    pq.write_table(pa.table({"h": np.arange(len(texts)), "s": pa.array(sets, pa.binary()), "k": pa.array([b.tobytes() for b in bits], pa.binary())}), path)
+    return near_duplicates.Lists([f"file://{path}"], 0, 1, 0.5)
+
+
+def test_what_stands_before_the_first_common_shingle_counts(tmp_path):
+    """Texts whose first common shingle stands late have little left to differ by: none of their pairs is left to be compared shingle by shingle."""
+    count, counts = 100, np.ones((1 << 18) + 1, dtype=np.int64)
+    middle = [f"s{k}" for k in range(27)]
+    texts = [" ".join([*(f"e{i}w{k}" for k in range(16)), *middle, *(f"l{i}w{k}" for k in range(9))]) for i in range(count)]
+    for part, often in ((middle, 1 << 10), *(((t.split()[41:]), 1 << 12) for t in texts)):
+        code, _ = near_duplicates.shingle_hashes(*near_duplicates.word_hashes([" ".join(part)]), 3)
+        counts[near_duplicates._slots(near_duplicates._tokens(code), len(counts) - 1)] = often
+    lists = _lists_of(texts, counts, f"{tmp_path}/sets.parquet")
+    assert sum(len(x) for x, _ in lists.meet(*lists.postings)) < 100  # of 4,950 pairs, which have 16 shingles each before the first common one
+    assert not _all_pairs(texts)
+
+
+@pytest.mark.parametrize("width", [64, 128, 256, 512])
+def test_sketches_of_any_width_lose_no_pair(tmp_path, monkeypatch, width):
+    rng = random.Random(width)
+    texts = [t for words, changed in ((60, 4), (60, 6), (25, 2), (300, 21)) for t in _variants(rng, 60, words, changed)]
+    texts += [t + " " + " ".join(f"x{i}w{k}" for k in range(rng.randrange(40))) for i, t in enumerate(texts)]
+    monkeypatch.setattr(near_duplicates, "FEW", 2)
+    monkeypatch.setattr(near_duplicates, "STEP", 32)
+    monkeypatch.setattr(near_duplicates, "TILE", 48)
+    monkeypatch.setattr(near_duplicates, "BEFORE", 300)
+    monkeypatch.setattr(near_duplicates.Lists, "_width", staticmethod(lambda rest, free: width))
+    wanted = _all_pairs(texts)
+    assert 1_000 < len(wanted) < len(texts) * (len(texts) - 1) // 3
+    for many in (4096, 100):  # whole lists, split lists and lists of several blocks
+        monkeypatch.setattr(near_duplicates, "MANY", many)
+        lists = _lists_of(texts, np.ones(1025, dtype=np.int64), f"{tmp_path}/sets.parquet")
+        found = {p for b in lists.pairs() for p in zip(b.column("h_b").to_pylist(), b.column("h_a").to_pylist())}
+        assert found == wanted
+
+
 def _shuffled_rows(spark):
     """Rows written to shuffles so far."""
     jvm = spark.sparkContext._jvm
